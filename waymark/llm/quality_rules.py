@@ -48,45 +48,59 @@ def repeated_words(windows: Column) -> Column:
     return let(let(pairs, places), covered)
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """doc_id, the measurements, and fail_bits bigint: bit k is set if rule k fails. One row for each row of docs."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    measured = (
-        docs.select("doc_id", text.alias("_text"), words_of(F.col("text")).alias("_words"))
-        .select(
-            "doc_id",
-            "_text",
-            F.size("_words").cast("long").alias("n_words"),
-            windows_of(F.col("_words")).alias("_windows"),
-            F.filter(F.split("_text", "\n"), lambda s: F.length(F.translate(s, SPACES, "")) > 0).alias("_lines"),
-        )
-        .select(
-            "doc_id",
-            "n_words",
-            F.length(F.translate("_text", SPACES, "")).cast("long").alias("word_chars"),
-            (F.length("_text") - F.length(F.translate("_text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-            (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-            # nothing is sorted for texts in which no window repeats
-            F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), repeated_words(F.col("_windows")))
-            .otherwise(F.lit(0).cast("long"))
-            .alias("n_repeat_words"),
-            F.size("_lines").cast("long").alias("n_lines"),
-            (F.length("_text") - F.length(F.translate("_text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")))
-            .cast("long")
-            .alias("n_upper"),
-        )
-    )
-    n, chars = F.col("n_words"), F.col("word_chars")
-    fails = {
+def _rule_columns(m: dict) -> dict:
+    n, chars = m["n_words"], m["word_chars"]
+    return {
         "few_words": n < 10,
-        "repeated_words": 100 * F.col("n_repeat_words") > 20 * n,
-        "symbols": 100 * F.col("n_symbols") > 20 * n,
-        "repeated_lines": 100 * F.col("n_dup_lines") > 40 * F.col("n_lines"),
-        "upper_case": 100 * F.col("n_upper") > 40 * chars,
+        "repeated_words": 100 * m["n_repeat_words"] > 20 * n,
+        "symbols": 100 * m["n_symbols"] > 20 * n,
+        "repeated_lines": 100 * m["n_dup_lines"] > 40 * m["n_lines"],
+        "upper_case": 100 * m["n_upper"] > 40 * chars,
         "word_length": (chars < 2 * n) | (chars > 20 * n),
     }
-    bits = sum((F.shiftleft(fails[r].cast("long"), k) for k, r in enumerate(RULES)), F.lit(0).cast("long"))
-    return measured.withColumn("fail_bits", bits)
+
+
+def measured(text: Column) -> Column:
+    """A struct of all measurements and fail_bits of a text."""
+
+    def of_parts(p):
+        t, words, lines, windows = p["t"], p["words"], p["lines"], p["windows"]
+        long = lambda c: c.cast("long")
+        without = lambda chars: long(F.length(t) - F.length(F.translate(t, chars, "")))
+        repeats = F.size(F.array_distinct(windows)) < F.size(windows)  # nothing is sorted for texts in which no window repeats
+        return F.struct(
+            long(F.size(words)).alias("n_words"),
+            long(F.length(F.translate(t, SPACES, ""))).alias("word_chars"),
+            without("#*$%&|<>").alias("n_symbols"),
+            long(F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"),
+            F.when(repeats, repeated_words(windows)).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"),
+            long(F.size(lines)).alias("n_lines"),
+            without("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
+        )
+
+    def parts(t):
+        lines = F.filter(F.split(t, "\n"), lambda s: F.length(F.translate(s, SPACES, "")) > 0)
+        both = F.struct(t.alias("t"), words_of(t).alias("words"), lines.alias("lines"))
+        return let(let(both, lambda b: F.struct(b["t"].alias("t"), b["words"].alias("words"), b["lines"].alias("lines"), windows_of(b["words"]).alias("windows"))), of_parts)
+
+    def with_bits(m):
+        fails = _rule_columns(m)
+        bits = sum((F.shiftleft(fails[r].cast("long"), k) for k, r in enumerate(RULES)), F.lit(0).cast("long"))
+        return F.struct(*[m[c].alias(c) for c in MEASURES], bits.alias("fail_bits"))
+
+    return let(let(F.coalesce(text, F.lit("")), parts), with_bits)
+
+
+def ledger(docs: DataFrame) -> DataFrame:
+    """doc_id, the measurements, and fail_bits bigint: bit k is set if rule k fails. One row for each row of docs."""
+    one = docs.select("doc_id", F.explode(F.array(measured(F.col("text")))).alias("_m"))
+    return one.select("doc_id", *[F.col(f"_m.{c}").alias(c) for c in (*MEASURES, "fail_bits")])
+
+
+def verdict(text: Column, version: int = POLICY) -> Column:
+    """Whether a policy keeps a text."""
+    rules = mask({*POLICIES[1], *POLICIES[version]})
+    return measured(text)["fail_bits"].bitwiseAND(F.lit(rules)) == 0
 
 
 def mask(rules) -> int:

@@ -46,6 +46,8 @@ def table(fill, *pairs) -> np.ndarray:
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+_LETTERS = LOWER.copy()
+_LETTERS[[c for c in range(128) if not chr(c).isalpha()]] = 32
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 IS_PUNCT = np.zeros(256, dtype=bool)
@@ -144,6 +146,16 @@ def ngram_counts(buf: np.ndarray, offs: np.ndarray, dims: int, rows: slice | Non
     return out.reshape(n_docs, dims)
 
 
+def letters_only(buf: np.ndarray, offs: np.ndarray):
+    """The same texts with every run of ASCII characters that are no letters made one space."""
+    low = _LETTERS[buf]
+    stay = np.ones(len(low), dtype=bool)
+    stay[1:] = (low[1:] != 32) | (low[:-1] != 32)
+    before = np.zeros(len(low) + 1, dtype=np.int64)
+    np.cumsum(stay, out=before[1:])
+    return low[stay], before[offs]
+
+
 def small_runs(buf: np.ndarray, offs: np.ndarray, most: int):
     """A chunk cut into runs of at most `most` texts: (first text, bytes, offsets)."""
     for i in range(0, len(offs) - 1, most):
