@@ -12,8 +12,8 @@ The metric is the Jaccard distance d = 1 - J, the radius R = 0.2. The join runs
    in which distances to the pivot are computed exactly. Members within R of it are one component; others meet the members
    that the window |d(x,p) - d(y,p)| <= R leaves, until they are linked. Larger regions than REGION are dealt out in parts,
    each of which has the pivot.
-3. Of regions in several parts, members outside the ball around the pivot are joined, in blocks, with the boundary of the
-   ball and with each other, by the same window.
+3. Of regions in several parts, members that no link so far connects with the pivot are joined, in blocks, with the boundary
+   of the pivot's component and with each other, by the same window.
 
 Each computed similarity is exact on sets of 64-bit shingle hashes. Whole documents as the only pivots would be of no use:
 nearly all distances in a corpus of texts are 1, and a window of 2R then holds all documents.
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textarrays as ta
-from .common import keep, stored, without_ids
+from .common import BROADCAST_IDS, keep, stored
 from .components import components
 
 #: Documents that one task compares with each other at most (a part of a region with its pivot).
@@ -48,8 +48,9 @@ def linked(common: int, a: int, b: int) -> bool:
 
 
 def extra(n):
-    """L: the regions that linked documents of n shingles or more share; grows with n."""
-    return 1 + n // 20
+    """L: the regions that linked documents of n shingles or more share; never falls with n. Short documents have more for
+    their size, as a passage that many share is a greater part of them."""
+    return 1 + min(n // 5, 16 + n // 20)
 
 
 def _sets(batches, emit):
@@ -101,26 +102,27 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _shared_cells(batches):
-    """Of (s, h, n) rows with all rows of each s: distinct rows of shingles that two sets or more have, and how many."""
+    """Of (s, h) rows with all rows of each s: distinct rows of shingles that two sets or more have, and how many."""
     got = [b for b in batches if b.num_rows]
     if not got:
         return
-    s, h, n = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in got]) for k in range(3))
+    s, h = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in got]) for k in range(2))
     order = np.lexsort((h, s))
-    s, h, n = s[order], h[order], n[order]
+    s, h = s[order], h[order]
     new = np.ones(len(s), dtype=bool)
     new[1:] = (s[1:] != s[:-1]) | (h[1:] != h[:-1])
-    s, h, n = s[new], h[new], n[new]
+    s, h = s[new], h[new]
     starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
     size = np.diff(np.append(starts, len(s)))
     df = np.repeat(size, size)
     live = df >= 2
-    yield pa.RecordBatch.from_arrays([pa.array(x[live]) for x in (s, h, n)] + [pa.array(df[live].astype(np.int64))], ["s", "h", "n", "df"])
+    yield pa.RecordBatch.from_arrays([pa.array(x[live]) for x in (s, h)] + [pa.array(df[live].astype(np.int64))], ["s", "h", "df"])
 
 
 def document_regions(sigs: DataFrame) -> DataFrame:
     """(p, m): sets that lie in a shingle's region, with the region's smallest member p. All linked sets are together in one."""
-    rows = sigs.where(F.size("cells") > 0).select("h", "n", F.explode("cells").alias("s"))
+    rows = sigs.where(F.size("cells") > 0).select("h", F.explode("cells").alias("s"))
+    sizes = sigs.groupBy("h").agg(F.min("n").alias("n"))
     n_rows = sigs.agg(F.sum(F.size("cells").cast("long"))).first()[0] or 0
     session = sigs.sparkSession
     parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // CELL_ROWS))
@@ -130,14 +132,15 @@ def document_regions(sigs: DataFrame) -> DataFrame:
     found = rows.sample(rate, 7).groupBy("s").count().where(F.col("count") > F.lit(max(1000.0, rate * n_rows / 2000)))
     hot = [r["s"] for r in found.collect()]
     cold = rows if not hot else rows.where(~F.col("s").isin(hot))
-    shared = cold.select("s", "h", "n").repartition(parts, "s").mapInArrow(_shared_cells, "s long, h long, n long, df long")
+    shared = cold.select("s", "h").repartition(parts, "s").mapInArrow(_shared_cells, "s long, h long, df long")
     if hot:
-        warm = rows.where(F.col("s").isin(hot)).select("s", "h", "n").distinct()
+        warm = rows.where(F.col("s").isin(hot)).distinct()
         crowd = warm.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
-        shared = shared.unionByName(warm.join(F.broadcast(crowd), "s").select("s", "h", "n", "df"))
+        shared = shared.unionByName(warm.join(F.broadcast(crowd), "s").select("s", "h", "df"))
+    shared = shared.join(sizes, "h")
     n = F.col("n")
     partner = F.floor((4 * n + 4) / 5).cast("long")  # the smallest partner's size
-    leave = F.floor(partner / 20).cast("long")
+    leave = F.least(F.floor(partner / 5), 16 + F.floor(partner / 20)).cast("long")
     from pyspark.sql import Window
 
     crowded = Window.partitionBy("h").orderBy(F.col("df").desc(), "s")
@@ -166,10 +169,10 @@ class _Union(dict):
         self[max(a, b)] = min(a, b)
 
 
-def join_region(p: int, sets: dict, outer=None, inner=None, known=None):
+def join_region(p: int, sets: dict, outer=None, inner=None, known=None, joined=()):
     """Spanning links of the sets of a region around p, exactly; and each member's distance to p.
 
-    outer, inner: if given, only links between the two (and within outer) are sought, with known distances to p."""
+    outer, inner: if given, only links between the two are sought, with known distances to p; joined are one component."""
     union, links = _Union(), []
     if known is None:
         dist, pivot = {}, sets[p]
@@ -183,9 +186,8 @@ def join_region(p: int, sets: dict, outer=None, inner=None, known=None):
         inner = sorted(sets)
     else:
         dist = known
-        ball = [m for m in sets if dist[m] <= 0.2]
-        for m in ball[1:]:
-            union.join(m, ball[0])
+        for m in joined:
+            union.join(m, joined[0])
     for x in outer:
         sx, dx = sets[x], dist[x]
         for y in inner:
@@ -242,25 +244,51 @@ def _first_join(batches):
 
 
 def _second_join(batches):
-    """Rows (p, i, j, m, d, outer, set): block i of those outside the ball against block j of all that are left."""
+    """Rows (p, i, j, m, d, o, outer, set): block i of those outside the pivot's component (o) against block j of all that are
+    left. Members that are not outer are one component."""
     out = []
     for (p, _, _), rows in _grouped(batches, 3):
-        sets, known = {m: s for m, _, _, s in rows}, {m: d for m, d, _, _ in rows}
-        outer, inner = sorted({m for m, _, o, _ in rows if o}), sorted({m for m, _, o, _ in rows if not o})
-        links, _ = join_region(p, sets, outer, inner, known)
+        sets, known = {r[0]: r[-1] for r in rows}, {r[0]: r[1] for r in rows}
+        outer, inner = sorted({r[0] for r in rows if r[2]}), sorted({r[0] for r in rows if not r[2]})
+        links, _ = join_region(p, sets, outer, inner, known, [r[0] for r in rows if not r[3]])
         out += [(0, p, a, b, 0.0) for a, b in links]
     yield from _emit(out)
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """h, set for the documents of the given ids."""
+def _placed_sets(docs: DataFrame, placed: DataFrame, classes: DataFrame, fields: str) -> DataFrame:
+    """The rows of placed (m and the given fields), each with the set of m, which is worked out beside its text.
 
-    def run(batches):
-        emit = lambda _, sets: pa.RecordBatch.from_arrays([pa.array([_handle(s) for s in sets], pa.int64()), _lists(sets)], ["h", "set"])
-        yield from _sets(batches, emit)
+    The places of a document, at most one for each of its cells, travel as one list to the document, by broadcast if there are
+    few; only the sets are then dealt out."""
+    names = [f.split()[0] for f in fields.split(", ")]
+    lists = placed.join(classes, placed["m"] == classes["h"]).groupBy("rep").agg(F.collect_list(F.struct(*names)).alias("places"))
+    lists = stored(lists, "places")
+    small = (lists.agg(F.sum(F.size("places").cast("long"))).first()[0] or 0) <= BROADCAST_IDS // 2
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = texts.join(F.broadcast(lists) if small else lists, texts["doc_id"] == lists["rep"]).select("doc_id", "text", "places")
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+    types = [kinds[f.split()[1]] for f in fields.split(", ")]
 
-    some = without_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "left_semi")
-    return some.select("doc_id", "text").mapInArrow(run, "h long, set array<long>")
+    def run(batches):
+        for batch in batches:
+            for first, buf, offs in ta.text_chunks(batch.column(1)):
+                shingles, at = ta.shingle_hashes(*ta.word_hashes(buf, offs))
+                places = batch.column(2).slice(first, len(offs) - 1)
+                rows, sets, held = [], [], 0
+                for k, (a, b) in enumerate(zip(at[:-1], at[1:])):
+                    s = np.unique(shingles[a:b])
+                    h = _handle(s)
+                    for place in places[k].as_py():
+                        if place["m"] == h:  # else another text of a repeated doc_id
+                            rows.append([place[x] for x in names])
+                            sets.append(s)
+                            held += len(s)
+                    if held > 1 << 20 or k == len(at) - 2 and rows:
+                        cols = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+                        yield pa.RecordBatch.from_arrays([*cols, _lists(sets)], [*names, "set"])
+                        rows, sets, held = [], [], 0
+
+    return keep(rows.mapInArrow(run, f"{fields}, set array<long>"), lists)
 
 
 def links(docs: DataFrame, sigs: DataFrame, classes: DataFrame, region: int = REGION) -> DataFrame:
@@ -268,29 +296,31 @@ def links(docs: DataFrame, sigs: DataFrame, classes: DataFrame, region: int = RE
     regions = document_regions(sigs)
     pivots = regions.groupBy("p").agg(F.count(F.lit(1)).alias("size"))
     pivots = pivots.select("p", F.ceil(F.col("size") / region).cast("int").alias("parts"))
-    involved = stored(regions.select(F.col("m").alias("h")).unionByName(regions.select(F.col("p").alias("h"))).distinct(), "involved")
-    ids = stored(involved.join(classes, "h").select("rep"), "involved-ids")
-    sets = _sets_of(docs, ids)
     members = regions.join(pivots, "p").select("p", F.pmod(F.xxhash64("m"), "parts").cast("int").alias("part"), "parts", "m")
     own = pivots.select("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts", F.col("p").alias("m"))
-    placed = members.unionByName(own).join(sets.withColumnRenamed("h", "m"), "m").select("p", "part", "parts", "m", "set")
+    placed = _placed_sets(docs, members.unionByName(own), classes, "p long, part int, parts int, m long")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = placed.repartition(n, "p", "part").sortWithinPartitions("p", "part").mapInArrow(_first_join, _LINKS)
     first = stored(first, "links")
     found = first.where("kind = 0").select("a", "b")
-    outside = first.where("kind = 1 AND d > 0.2")
-    if outside.isEmpty():
+    if first.where("kind = 1 AND d > 0.2").isEmpty():
         return keep(found, first)
-    near = outside.groupBy("p").agg(F.min("d").alias("least"), F.ceil(F.count(F.lit(1)) / region).cast("int").alias("rows"))
-    rest = first.where("kind = 1").join(near, "p").where("d >= least - 0.2 - 1e-9")
+    # what the first links connect needs no more comparing: a region is done when all its members are in its pivot's component
+    roots = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    rooted = first.where("kind = 1").join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
+    rooted = rooted.join(roots.select(F.col("node").alias("p"), F.col("root").alias("rp")), "p", "left")
+    rooted = rooted.select("p", "a", "d", (F.coalesce("ra", "a") != F.coalesce("rp", "p")).alias("outer"))
+    rooted = stored(rooted, "rooted")
+    near = rooted.where("outer").groupBy("p").agg(F.min("d").alias("least"), F.ceil(F.count(F.lit(1)) / region).cast("int").alias("rows"))
+    rest = rooted.join(near, "p").where("outer OR d >= least - 0.2 - 1e-9")
     blocks = rest.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / region).cast("int").alias("cols"))
-    rest = rest.join(blocks, "p").select("p", F.col("a").alias("m"), "d", "rows", "cols", F.xxhash64("a").alias("_z"))
+    rest = rest.join(blocks, "p").select("p", F.col("a").alias("m"), "d", "outer", "rows", "cols", F.xxhash64("a").alias("_z"))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own_block = lambda n: F.pmod("_z", n).cast("int")
-    left = rest.where("d > 0.2").select("p", own_block("rows").alias("i"), spread("cols").alias("j"), "m", "d", F.lit(True).alias("outer"))
-    right = rest.select("p", spread("rows").alias("i"), own_block("cols").alias("j"), "m", "d", F.lit(False).alias("outer"))
-    pairs = left.unionByName(right).join(_sets_of(docs, ids).withColumnRenamed("h", "m"), "m")
-    pairs = pairs.select("p", "i", "j", "m", "d", "outer", "set").repartition(n, "p", "i", "j").sortWithinPartitions("p", "i", "j")
+    left = rest.where("outer").select("p", own_block("rows").alias("i"), spread("cols").alias("j"), "m", "d", F.lit(True).alias("o"), "outer")
+    right = rest.select("p", spread("rows").alias("i"), own_block("cols").alias("j"), "m", "d", F.lit(False).alias("o"), "outer")
+    blocked = _placed_sets(docs, left.unionByName(right), classes, "p long, i int, j int, m long, d double, o boolean, outer boolean")
+    pairs = blocked.repartition(n, "p", "i", "j").sortWithinPartitions("p", "i", "j")
     second = stored(pairs.mapInArrow(_second_join, _LINKS), "links")
     return keep(found.unionByName(second.select("a", "b")), first, second)
 
