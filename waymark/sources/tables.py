@@ -43,8 +43,9 @@ def write_shards(df: DataFrame, prefix: str, dates: list, date: str = "date") ->
     """The same rows as tables prefix_YYYYMMDD, for readers of sharded families."""
     names = []
     for d in dates:
-        names.append(f"{prefix}_{str(d).replace('-', '')}")
-        df.where(F.col(date) == F.lit(d)).write.mode("overwrite").saveAsTable(names[-1])
+        day = str(d).replace("-", "")
+        names.append(f"{prefix}_{day}")
+        df.where(F.replace(F.col(date).cast("string"), F.lit("-"), F.lit("")) == day).write.mode("overwrite").saveAsTable(names[-1])
     return names
 
 
