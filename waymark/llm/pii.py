@@ -150,7 +150,8 @@ def masked(text: str, spans: dict) -> str:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span masked in `text` and `n_chars`, if there is one, set to the new length; all other columns as they are."""
+    """docs with every span masked in `text` and `n_chars`, if there is one, set to the new length; all other columns, and rows
+    without text, as they are."""
     names, kinds = docs.columns, docs.schema
 
     def run(batches):
@@ -161,7 +162,8 @@ def redact(docs: DataFrame) -> DataFrame:
             cols = list(b.columns)
             cols[at] = pa.array(texts, pa.string())
             if "n_chars" in names and pa.types.is_integer(b.column(i := names.index("n_chars")).type):
-                cols[i] = pa.array([None if t is None else len(t) for t in texts], b.column(i).type)
+                old = b.column(i).to_pylist()
+                cols[i] = pa.array([o if t is None else len(t) for t, o in zip(texts, old)], b.column(i).type)
             yield pa.RecordBatch.from_arrays(cols, names)
 
     return docs.mapInArrow(run, kinds)
