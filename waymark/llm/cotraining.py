@@ -48,14 +48,14 @@ def meta_view(source, lang, n_chars) -> np.ndarray:
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-4, steps: int = 300) -> np.ndarray:
     """Weights (the last is the bias) of a regularised logistic model, by accelerated gradient steps."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
     w = np.zeros(x.shape[1], dtype=np.float64)
     weight = weight / weight.sum()
     rate = 1.0 / (0.25 * float((weight[:, None] * x * x).sum()) + l2)
     z, t = w.copy(), 1.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ z, -30, 30)))
-        g = x.T @ (weight * (p - y)) + l2 * z
+        p = 1 / (1 + np.exp(-np.clip(x @ z.astype(np.float32), -30, 30)))
+        g = x.T @ (weight * (p - y)).astype(np.float32) + l2 * z
         w_new = z - rate * g
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z = w_new + (t - 1) / t_new * (w_new - w)
