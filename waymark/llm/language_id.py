@@ -4,7 +4,8 @@ Texts become normalised TF-IDF vectors of hashed byte 2- and 3-grams; digits, si
 spherical k-means; a text gets the language of the centroid with the greatest cosine. A text farther from it than nearly all
 the learned texts of that language is marked `rejected`, and callers may read that as no language.
 
-Learned rows are a bounded sample: SAMPLE rows at most, shared out evenly over the languages, those of smallest hash of doc_id.
+Learned rows are a bounded sample: SAMPLE rows at most, shared out evenly over the languages, those of smallest hash of doc_id; a
+repeated doc_id gives one row, that of the least text.
 Prediction covers all rows. Null text, or text without a letter, is `und` with score 0. Without any row to learn from all
 rows are `und`. Repeated rows each get a row. Other columns than doc_id, text (and lang, to learn) are ignored."""
 
@@ -60,14 +61,20 @@ def k_means(v: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
 def fit(docs: DataFrame, learn: Column, lang: str = "lang") -> dict:
     """A model from the rows of docs for which `learn` holds and the language is known."""
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col("text").rlike("\\p{L}")).select("doc_id", "text", F.col(lang).alias("_lang"))
-    names = sorted(r["_lang"] for r in rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(SAMPLE).collect())
-    if not names:
+    sizes = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(SAMPLE).collect()
+    if not sizes:
         return {"langs": []}
-    each = max(1, SAMPLE // len(names))
-    first = Window.partitionBy("_lang").orderBy(F.xxhash64(F.col("doc_id")), "doc_id")
-    ids = rows.select("doc_id", "_lang").withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= each)
-    chosen = F.broadcast(ids.select(F.col("doc_id").alias("_id"), F.col("_lang").alias("_l")).distinct())  # SAMPLE rows at most
+    each = max(1, SAMPLE // len(sizes))
+    # Of a language's n rows, those of the lowest (2 each + 50) / n of all hashes: enough, and few, so no task ranks many.
+    below = [(r["_lang"], min(2**63 - 1, -(2**63) + 2**64 * (2 * each + 50) // r["count"])) for r in sizes]
+    low = F.broadcast(docs.sparkSession.createDataFrame(below, "_l string, _below long"))  # SAMPLE rows at most
+    key = F.xxhash64(F.col("doc_id"))
+    few = rows.select("doc_id", "_lang").join(low, F.col("_lang") == F.col("_l")).where(key <= F.col("_below")).distinct()
+    first = Window.partitionBy("_lang").orderBy(key, "doc_id")
+    ids = few.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= each)
+    chosen = F.broadcast(ids.select(F.col("doc_id").alias("_id"), F.col("_lang").alias("_l")))  # SAMPLE rows at most
     sample = rows.join(chosen, (F.col("doc_id") == F.col("_id")) & (F.col("_lang") == F.col("_l")))
+    sample = sample.groupBy("doc_id", "_lang").agg(F.min("text").alias("text"))  # a repeated doc_id counts once
     got = counted(sample, "_lang").toArrow().combine_chunks()
     labels = np.array(got.column("label").to_pylist())
     counts = got.column("counts").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, DIMS).astype(np.float32)
