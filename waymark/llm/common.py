@@ -68,11 +68,17 @@ def keep(result: DataFrame, *tables: DataFrame) -> DataFrame:
     return result
 
 
+def unused(df: DataFrame) -> str:
+    """A name that no column of df has."""
+    return "_" * (1 + max(map(len, df.columns)))
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, how: str = "left_anti") -> DataFrame:
     """docs without (or with "left_semi": only) the rows whose doc_id is in ids, which has one bigint column of distinct ids.
 
     ids is broadcast if its counted rows are at most BROADCAST_IDS, else both sides are shuffled."""
     key = ids.columns[0]
     small = ids.count() <= BROADCAST_IDS
-    right = ids.select(F.col(key).alias("_drop_id"))
-    return docs.join(F.broadcast(right) if small else right, docs["doc_id"] == F.col("_drop_id"), how)
+    own = unused(docs)
+    right = ids.select(F.col(key).alias(own))
+    return docs.join(F.broadcast(right) if small else right, docs["doc_id"] == F.col(own), how)

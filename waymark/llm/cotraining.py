@@ -6,7 +6,8 @@ pseudo-labels to the other. Both are then calibrated on held-out labels and comb
 
 Labels and pool are bounded samples (LABELLED and POOL documents of smallest hash of doc_id); scoring covers all rows and whole
 texts. Null text counts as empty, null metadata as a value of its own. Without labels of both classes every score is the share
-of good labels (0.5 if none). Repeated rows each get a row."""
+of good labels (0.5 if none). Repeated rows each get a row; to learn from, a repeated doc_id counts once. Other columns are
+ignored."""
 
 from __future__ import annotations
 
@@ -99,15 +100,21 @@ def _inputs(docs: DataFrame, label) -> list:
     return [label, F.coalesce("text", F.lit("")).alias("_text"), has("source", "string"), has("lang", "string"), has("n_chars", "long")]
 
 
+def _rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The inputs of the documents of ids (_id, label _y: a bounded sample). A repeated doc_id gives one row, the least."""
+    rows = docs.select(*_inputs(docs, F.col("doc_id").alias("_doc"))).join(F.broadcast(ids), F.col("_doc") == F.col("_id"))
+    least = rows.groupBy("_id", "_y").agg(F.min(F.struct("_text", "_source", "_lang", "_n_chars")).alias("_f"))
+    return least.select("_y", "_f.*")
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict:
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y"))
     some = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(LABELLED)  # a bounded sample
-    y, t, m = _views(docs.join(F.broadcast(some), docs["doc_id"] == F.col("_id")).select(*_inputs(docs, F.col("_y"))))
+    y, t, m = _views(_rows_of(docs, some))
     if len(set(y.tolist())) < 2:
         return {"prior": float(np.mean(y)) if len(y) else 0.5}
     pool_ids = docs.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(POOL).distinct()
-    pool = docs.join(F.broadcast(pool_ids.withColumnRenamed("doc_id", "_id")), docs["doc_id"] == F.col("_id"))
-    _, pt, pm = _views(pool.select(*_inputs(docs, F.lit(None).cast("int"))))
+    _, pt, pm = _views(_rows_of(docs, pool_ids.select(F.col("doc_id").alias("_id"), F.lit(None).cast("int").alias("_y"))))
     test = np.arange(len(y)) % 5 == 0
     views, pools = {"t": t, "m": m}, {"t": pt, "m": pm}
     given: dict = {"t": {}, "m": {}}  # pseudo-labels that each view got from the other
