@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import textarrays as ta
 
 SIMILARITY, RADIUS, BLOCK_ITEMS = 0.8, 23, 4096
+#: Windows fingerprinted at once, and words that they may span.
+RUN, SPAN = 2048, 16_384
 _NEAR = np.array([[bin(a ^ b).count("1") <= RADIUS // 8 for b in range(256)] for a in range(256)])
 _ONES = np.array([bin(x).count("1") for x in range(256)], dtype=np.int64)
 
@@ -83,6 +85,15 @@ class Items:
         both = int(np.minimum(na[same], nb[at[same]]).sum())
         return both / (len(window) + int(nb.sum()) - both)
 
+    @staticmethod
+    def _runs(starts: np.ndarray):
+        """The starts in runs of RUN at most that lie at most SPAN apart, so that memory doesn't grow with the text."""
+        at = 0
+        while at < len(starts):
+            stop = min(at + RUN, int(np.searchsorted(starts, starts[at] + SPAN)))
+            yield starts[at:stop]
+            at = stop
+
     def matches(self, shingles: np.ndarray, n_words: int, seeds: np.ndarray) -> list:
         """Best window of each item in one text: (item, similarity, bits apart, first word, words)."""
         starts: dict = {}
@@ -100,17 +111,17 @@ class Items:
                 group.update(range(min(max(a - 2, 0), top), min(max(stop + 2, 0), top) + 1))
         best: dict = {}
         for length, group in by_length.items():
-            at = np.array(sorted(group))
             per = max(1, length - 4)
-            lo, hi = at[0], min(at[-1] + per, len(shingles))
-            sums = np.zeros((hi - lo + 1, 64), dtype=np.int32)
-            np.cumsum(_signs(shingles[lo:hi]), axis=0, out=sums[1:])
-            fps = _fingerprints(sums[np.minimum(at + per, hi) - lo] - sums[at - lo])
-            for w, i, apart in zip(*self.candidates(fps)):
-                first = int(at[w])
-                sim = self.similarity(shingles[first : first + per], int(i))
-                if sim >= SIMILARITY and (sim, -first) > best.get(int(i), (0, 0))[:2]:
-                    best[int(i)] = (sim, -first, int(apart), length)
+            for at in self._runs(np.array(sorted(group))):
+                lo, hi = at[0], min(at[-1] + per, len(shingles))
+                sums = np.zeros((hi - lo + 1, 64), dtype=np.int32)
+                np.cumsum(_signs(shingles[lo:hi]), axis=0, out=sums[1:])
+                fps = _fingerprints(sums[np.minimum(at + per, hi) - lo] - sums[at - lo])
+                for w, i, apart in zip(*self.candidates(fps)):
+                    first = int(at[w])
+                    sim = self.similarity(shingles[first : first + per], int(i))
+                    if sim >= SIMILARITY and (sim, -first) > best.get(int(i), (0, 0))[:2]:
+                        best[int(i)] = (sim, -first, int(apart), length)
         return [(self.ids[i], sim, apart, -first, length) for i, (sim, first, apart, length) in sorted(best.items())]
 
 
