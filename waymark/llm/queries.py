@@ -51,7 +51,8 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(read(spark, sf_dir, "documents"))
+    found = license_scan.scan(read(spark, sf_dir, "documents"))
+    return found.withColumn("line_licences", F.array_join("line_licences", ","))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,5 +111,46 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f0 +
 """
 
 
+_JOIN_SQL = rf"""
+WITH RECURSIVE
+w AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACE}+'), lambda x: x <> '') AS w FROM documents),
+e AS (SELECT DISTINCT rid, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] END AS x
+  FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+h AS (SELECT rid, list(x ORDER BY x) AS s FROM e GROUP BY rid),
+g AS (SELECT doc_id, coalesce(s, []) AS s FROM w LEFT JOIN h USING (rid)),
+c AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM g WHERE doc_id IS NOT NULL AND len(s) > 0 GROUP BY s),
+u AS (SELECT rep, n, unnest(s) AS x FROM c),
+l AS (SELECT a.rep AS a, b.rep AS b FROM u a JOIN u b ON a.x = b.x AND a.rep <> b.rep
+  GROUP BY a.rep, a.n, b.rep, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r AS (SELECT rep AS node, rep AS root FROM c UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node),
+k AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT g.doc_id, len(g.s)::BIGINT AS n_shingles, CASE WHEN g.doc_id IS NOT NULL THEN coalesce(k.root, g.doc_id) END AS component_id
+FROM g LEFT JOIN c USING (s) LEFT JOIN k ON k.node = c.rep
+"""
+
+
+def _canonical_sql(text: str) -> str:
+    """license_scan.canonical in SQL. Its lookahead is a captured digit here, as the other engine has none."""
+    t = f"lower(regexp_replace({text}, '{license_scan.COPYRIGHT}', '', 'g'))"
+    for pattern, one in license_scan.SPELLINGS:
+        pattern, one = pattern.replace("(?=[0-9])", "([0-9])"), one + ("\\3" if "(?=" in pattern else "")
+        t = f"regexp_replace({t}, '{pattern}', '{one}', 'g')"
+    return f"trim(regexp_replace({t}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+def _license_sql() -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in license_scan.KNOWN)
+    return f"""
+WITH k AS (SELECT DISTINCT sha256({_canonical_sql("body")}) AS digest, licence FROM (VALUES {known}) AS v(licence, body)),
+d AS (SELECT doc_id, text, row_number() OVER () AS rid FROM documents),
+n AS (SELECT rid, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?i)licen[cs]'))) AS line FROM d),
+h AS (SELECT rid, string_agg(DISTINCT licence, ',' ORDER BY licence) AS found
+  FROM (SELECT rid, sha256({_canonical_sql("line")}) AS digest FROM n) JOIN k USING (digest) GROUP BY rid),
+e AS (SELECT rid, doc_id, sha256({_canonical_sql("text")}) AS digest FROM d)
+SELECT e.doc_id, e.digest, k.licence, coalesce(h.found, '') AS line_licences FROM e LEFT JOIN k USING (digest) LEFT JOIN h USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": _RULES_SQL}
+    return {"op1_ngram_jaccard_join": _JOIN_SQL, "op5_license_scan": _license_sql(), "op9_quality_rules": _RULES_SQL}
