@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import lean
+
 #: Widths of the matrices; pieces longer than the last are merged with a heap.
 BUCKETS = (4, 8, 12, 16, 24, 32, 48, 64, 128, 256)
 LONG = BUCKETS[-1]
@@ -169,6 +171,7 @@ def token_rows(docs: DataFrame, vocabulary: bytes, pattern: str, digests_only: b
 
         vocab, find = Vocabulary(held.value), regex.compile(pattern).findall
         known: dict = {}
+        one_of = list(range(len(vocab.tokens)))  # one int object an id, however many pieces have it
 
         def some(ids, texts):
             nonlocal known
@@ -178,7 +181,7 @@ def token_rows(docs: DataFrame, vocabulary: bytes, pattern: str, digests_only: b
                 known = {}
                 new = {p for c in cut for p in c}
             for p, x in vocab.encode_pieces(list(new)).items():
-                known[p] = (x, " ".join(map(str, x)))
+                known[p] = ([one_of[i] for i in x], " ".join(map(str, x)))
             all_ids, n, left, back = [], [], [], []
             for c in cut:
                 got = [known[p] for p in c]
@@ -202,7 +205,7 @@ def token_rows(docs: DataFrame, vocabulary: bytes, pattern: str, digests_only: b
                 yield some(ids.slice(first, len(run_)), run_)
 
     schema = "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), schema)
 
 
 def decode_rows(rows: DataFrame, vocabulary: bytes) -> DataFrame:
@@ -215,4 +218,4 @@ def decode_rows(rows: DataFrame, vocabulary: bytes) -> DataFrame:
             texts = [None if x is None else vocab.decode(x).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(lean(run), "doc_id long, text string")

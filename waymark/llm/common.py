@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import weakref
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Words are runs of anything but these six characters: space, tab, LF, VT, FF, CR.
@@ -31,6 +32,20 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def lean(run):
+    """run, for mapInArrow, with Arrow's freed memory given back after each batch: a worker lives on, idle or in other stages."""
+
+    def each(batches):
+        give_back = pa.default_memory_pool().release_unused
+        for out in run(batches):
+            yield out
+            del out
+            give_back()
+        give_back()
+
+    return each
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
     top = spark.conf.get("spark.checkpoint.dir", None)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textarrays as ta
-from .common import BROADCAST_IDS, keep, stored
+from .common import BROADCAST_IDS, keep, lean, stored
 from .components import components
 
 #: Documents that one task compares with each other at most (a part of a region with its pivot).
@@ -98,7 +98,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
         yield from _sets(batches, emit)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, h long, cells array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, n long, h long, cells array<long>")
 
 
 def _shared_cells(batches):
@@ -132,7 +132,7 @@ def document_regions(sigs: DataFrame) -> DataFrame:
     found = rows.sample(rate, 7).groupBy("s").count().where(F.col("count") > F.lit(max(1000.0, rate * n_rows / 2000)))
     hot = [r["s"] for r in found.collect()]
     cold = rows if not hot else rows.where(~F.col("s").isin(hot))
-    shared = cold.select("s", "h").repartition(parts, "s").mapInArrow(_shared_cells, "s long, h long, df long")
+    shared = cold.select("s", "h").repartition(parts, "s").mapInArrow(lean(_shared_cells), "s long, h long, df long")
     if hot:
         warm = rows.where(F.col("s").isin(hot)).distinct()
         crowd = warm.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
@@ -288,7 +288,7 @@ def _placed_sets(docs: DataFrame, placed: DataFrame, classes: DataFrame, fields:
                         yield pa.RecordBatch.from_arrays([*cols, _lists(sets)], [*names, "set"])
                         rows, sets, held = [], [], 0
 
-    return keep(rows.mapInArrow(run, f"{fields}, set array<long>"), lists)
+    return keep(rows.mapInArrow(lean(run), f"{fields}, set array<long>"), lists)
 
 
 def links(docs: DataFrame, sigs: DataFrame, classes: DataFrame, region: int = REGION) -> DataFrame:
@@ -300,7 +300,7 @@ def links(docs: DataFrame, sigs: DataFrame, classes: DataFrame, region: int = RE
     own = pivots.select("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts", F.col("p").alias("m"))
     placed = _placed_sets(docs, members.unionByName(own), classes, "p long, part int, parts int, m long")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = placed.repartition(n, "p", "part").sortWithinPartitions("p", "part").mapInArrow(_first_join, _LINKS)
+    first = placed.repartition(n, "p", "part").sortWithinPartitions("p", "part").mapInArrow(lean(_first_join), _LINKS)
     first = stored(first, "links")
     found = first.where("kind = 0").select("a", "b")
     if first.where("kind = 1 AND d > 0.2").isEmpty():
@@ -321,7 +321,7 @@ def links(docs: DataFrame, sigs: DataFrame, classes: DataFrame, region: int = RE
     right = rest.select("p", spread("rows").alias("i"), own_block("cols").alias("j"), "m", "d", F.lit(False).alias("o"), "outer")
     blocked = _placed_sets(docs, left.unionByName(right), classes, "p long, i int, j int, m long, d double, o boolean, outer boolean")
     pairs = blocked.repartition(n, "p", "i", "j").sortWithinPartitions("p", "i", "j")
-    second = stored(pairs.mapInArrow(_second_join, _LINKS), "links")
+    second = stored(pairs.mapInArrow(lean(_second_join), _LINKS), "links")
     return keep(found.unionByName(second.select("a", "b")), first, second)
 
 
