@@ -274,3 +274,20 @@ def test_pipeline(spark, tmp_path):
         docs = nxt
     assert sorted(r.doc_id for r in docs.collect()) == [1, 5] and all("me@x.org" not in r.text for r in docs.collect())
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [1, 5]
+
+
+def test_html_sums_choose_the_text():
+    para = lambda w: f"<p>{(w + ' text of the page. ') * 12}</p>"
+    teasers = "".join(f"<article><h3><a href=x>Teaser {i}</a></h3><p>Teaser words {i}</p></article>" for i in range(5))
+    links = "<ul>" + "".join(f"<li><a href=x>Link {i}</a>" for i in range(8)) + "</ul>"
+    body = f"<div><h1>Head</h1>{para('One')}{para('Two')}</div>"
+    for page in (f"{body}{teasers}", f"{teasers}{body}", f"<main>{body}{teasers}</main>"):
+        got = html_text.main_text(page)
+        assert got.startswith("Head\nOne") and "Two" in got and "Teaser" not in got
+    assert "Comment" not in html_text.main_text(f"{body}<div class=comments><article>{para('Comment')}{para('Comment')}{para('Comment')}</article></div>")
+    got = html_text.main_text(f"{links}<h1>Head</h1>{links}{para('One')}{links}{para('Two')}{links}<p>Terms</p>")  # no article
+    assert got.startswith("Head\nOne") and got.index("One") < got.index("Link 7") < got.index("Two") and got.count("Link 0") == 1 and "Terms" not in got
+    assert html_text.main_text(f"<div class=ad>Advert<article>{para('One')}</article>").startswith("One")
+    assert html_text.main_text(f"<div><div class=ad>Advert<article>{para('One')}</article></div>").startswith("One")
+    two = html_text.main_text(f"<article>{para('One')}{links}{para('Two')}</article><article>{para('Three')}{para('Four')}</article>")
+    assert all(w in two for w in ("One", "Link 3", "Two", "Three", "Four"))
