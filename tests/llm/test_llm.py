@@ -291,3 +291,12 @@ def test_html_sums_choose_the_text():
     assert html_text.main_text(f"<div><div class=ad>Advert<article>{para('One')}</article></div>").startswith("One")
     two = html_text.main_text(f"<article>{para('One')}{links}{para('Two')}</article><article>{para('Three')}{para('Four')}</article>")
     assert all(w in two for w in ("One", "Link 3", "Two", "Three", "Four"))
+
+
+def test_full_licence_texts_and_lines_without_the_word(spark):
+    named = dict(license_scan.TEXTS)
+    flat = " ".join(license_scan._ISC.split())
+    texts = [named["Apache-2.0"], named["GPL-3.0"].upper(), named["MPL-2.0"], "Copyright (c) 2020, X\nAll rights reserved.\n\n" + named["BSD-3-Clause"], named["Unlicense"], "MIT License\n\nCopyright (c) 2021 X\n\n" + named["MIT"], named["CC0-1.0"], "Title\n" + flat + "\nbody", "x\n# SPDX-License-Identifier: LGPL-2.1-or-later\ny", flat]
+    got = {r.doc_id: (r.licence, r.line_licences) for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k][0] for k in range(7)] == ["Apache-2.0", "GPL-3.0", "MPL-2.0", "BSD-3-Clause", "Unlicense", "MIT", "CC0-1.0"]
+    assert got[7] == (None, ["ISC"]) and got[8] == (None, ["LGPL-2.1"]) and got[9] == ("ISC", ["ISC"])
