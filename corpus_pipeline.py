@@ -5,10 +5,10 @@ reads it as the next stage's docs. All stages but the last return the columns th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from waymark.llm import bpe, decontaminate, jaccard_join, pii, quality_rules
-from waymark.llm.common import keep, stored, without_ids
+from waymark.llm.common import few, keep, stored, unused, without_ids
 from waymark.llm.queries import pattern, read, vocabulary
 
 #: SQL cannot express the stages for documents of this size; tests/llm compares them with brute force.
@@ -20,28 +20,67 @@ def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(quality_rules.verdict(F.col("text")))
 
 
+def _row_key(names: list) -> Column:
+    """A hash of a whole row; nulls count with their place."""
+    return F.xxhash64(*names, *[F.col(f"`{c}`").isNull() for c in names])
+
+
+def _first(rows: DataFrame, key: Column, names: list) -> DataFrame:
+    """One row of each key."""
+    held = F.min_by(F.struct(*names), F.xxhash64(*names)).alias("_r")
+    return rows.groupBy(key).agg(held).select(*[F.col(f"_r.`{c}`").alias(c) for c in names])
+
+
+def _without_id(docs: DataFrame) -> DataFrame:
+    """Of rows with a null doc_id, one of each component of near duplicates among them; of rows without words, one of each."""
+    key = _row_key(docs.columns)
+    found = stored(jaccard_join.jaccard_components(docs.select(key.alias("doc_id"), "text")), "classes")
+    out = without_ids(docs, found.where("doc_id <> component_id").select("doc_id").distinct(), of=key)
+    return keep(_first(out, key, docs.columns), found)
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of smallest doc_id, of each component of near duplicates; one row of repeated rows. Rows with a null
-    doc_id stay, as they take part in nothing."""
-    found = stored(jaccard_join.jaccard_components(docs), "classes")
+    """One document, that of smallest doc_id, of each component of near duplicates; one row of each doc_id.
+
+    Of a repeated doc_id the texts are looked at one by one: those that are later near copies go, the others leave one row, of
+    the largest component. Where that takes a component's first document, the next one whose doc_id is its own stays instead.
+    Rows with a null doc_id are near duplicates of each other only."""
+    found = stored(jaccard_join.jaccard_components(docs, handles=True), "classes")
     drop = found.where("doc_id <> component_id").select("doc_id").distinct()
-    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    out = without_ids(docs, drop)
-    if not repeated.isEmpty():
-        names = docs.columns
-        ids = stored(repeated, "repeated")
-        twice = without_ids(out, ids, "left_semi")
-        first = twice.groupBy("doc_id").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("_r")).select(*[F.col(f"_r.`{c}`").alias(c) for c in names])
-        out = without_ids(out, ids).unionByName(first)
-        return keep(out, found, ids)
-    return keep(out, found)
+    named, tables = docs.where("doc_id IS NOT NULL"), [found]
+    repeated = stored(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        out = without_ids(named, drop)
+    else:
+        names, text_key = docs.columns, F.xxhash64("text")
+        twice = without_ids(named, repeated, "left_semi")
+        sizes = found.where("root <> -1").groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+        own = without_ids(found.where("doc_id = component_id"), repeated, "left_semi").select("doc_id", "h", "root").distinct()
+        own = stored(own.join(sizes, "root", "left").select("doc_id", "h", "root", F.coalesce("size", F.lit(0)).alias("size")), "own")
+        best = own.groupBy("doc_id").agg(F.max_by("root", F.struct("size", "root")).alias("best"))
+        own = stored(own.join(best, "doc_id"), "own")
+        lost = own.where("root <> best AND root <> -1").select("root", F.col("doc_id").alias("gone")).distinct()
+        single = without_ids(found, repeated).join(few(lost), "root").where("doc_id <> gone")
+        heirs = stored(single.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "heirs")
+        handles = jaccard_join.signatures(twice.select(text_key.alias("doc_id"), "text")).select(F.col("doc_id").alias("x"), "h").distinct()
+        a, b = unused(docs), unused(docs) + "_"
+        stay = own.where("root = best").select("doc_id", "h").join(handles, "h").select(F.col("doc_id").alias(a), F.col("x").alias(b))
+        stay = stored(stay, "stay")
+        first = _first(twice.join(few(stay), (twice["doc_id"] == F.col(a)) & (text_key == F.col(b)), "left_semi"), F.col("doc_id"), names)
+        out = without_ids(without_ids(named, repeated), drop.join(heirs, "doc_id", "left_anti")).unionByName(first)
+        tables += [repeated, own, heirs, stay]
+    if not found.where("doc_id IS NULL").isEmpty():
+        rest = _without_id(docs.where("doc_id IS NULL"))
+        out, tables = out.unionByName(rest), [*tables, rest]
+    return keep(out, *tables)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
-    found = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"))
-    ids = stored(found.where("doc_id IS NOT NULL").select("doc_id").distinct(), "contaminated")
-    return keep(without_ids(docs, ids), ids)
+    """Documents without any window of a benchmark item. Rows are told by their text, whatever their doc_id."""
+    key = F.xxhash64("text")
+    found = decontaminate.contaminated(docs.select(key.alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
+    texts = stored(found.select("doc_id").distinct(), "contaminated")
+    return keep(without_ids(docs, texts, of=key), texts)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

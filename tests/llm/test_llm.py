@@ -300,3 +300,23 @@ def test_full_licence_texts_and_lines_without_the_word(spark):
     got = {r.doc_id: (r.licence, r.line_licences) for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[k][0] for k in range(7)] == ["Apache-2.0", "GPL-3.0", "MPL-2.0", "BSD-3-Clause", "Unlicense", "MIT", "CC0-1.0"]
     assert got[7] == (None, ["ISC"]) and got[8] == (None, ["LGPL-2.1"]) and got[9] == ("ISC", ["ISC"])
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    text = lambda: " ".join(f"{rng.choice('abcdefgh')}{rng.choice(WORDS)}" for _ in range(60))
+    a, b, c, d, e, f, item = text(), text(), text(), text(), text(), text(), " ".join(rng.choices(WORDS, k=30))
+    near = lambda x: x + " more"
+    rows = [(1, a), (7, near(a)), (7, b), (2, c), (2, d), (8, near(c)), (9, near(c) + " yet"), (12, near(d)), (None, e), (None, e), (None, near(e)), (None, f), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    stages = dict(corpus_pipeline.STAGES)
+    got = Counter((r.doc_id, r.text) for r in stages["n-gram Jaccard join"](spark, docs, str(tmp_path)).collect())
+    left = [x for x in got if x[0] is None and x[1] in (e, near(e))]
+    assert len(left) == 1 and got == Counter([(1, a), (7, b), (2, c), (12, near(d)), left[0], (None, f), (None, None)])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"{a} {item}"), (None, b), (3, f"{c} {item}"), (3, d), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    got = Counter((r.doc_id, r.text) for r in stages["benchmark decontamination"](spark, docs, str(tmp_path)).collect())
+    assert got == Counter([(None, b), (3, d), (4, None)])

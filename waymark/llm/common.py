@@ -88,12 +88,17 @@ def unused(df: DataFrame) -> str:
     return "_" * (1 + max(map(len, df.columns)))
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, how: str = "left_anti") -> DataFrame:
-    """docs without (or with "left_semi": only) the rows whose doc_id is in ids, which has one bigint column of distinct ids.
+def few(ids: DataFrame) -> DataFrame:
+    """ids, broadcast if its counted rows are at most BROADCAST_IDS."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, how: str = "left_anti", of: Column | None = None) -> DataFrame:
+    """docs without (or with "left_semi": only) the rows whose doc_id (or the key `of`) is in ids, which has one bigint column of
+    distinct ids.
 
     ids is broadcast if its counted rows are at most BROADCAST_IDS, else both sides are shuffled."""
     key = ids.columns[0]
-    small = ids.count() <= BROADCAST_IDS
     own = unused(docs)
-    right = ids.select(F.col(key).alias(own))
-    return docs.join(F.broadcast(right) if small else right, docs["doc_id"] == F.col(own), how)
+    right = few(ids.select(F.col(key).alias(own)))
+    return docs.join(right, (docs["doc_id"] if of is None else of) == F.col(own), how)

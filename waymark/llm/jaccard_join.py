@@ -325,8 +325,10 @@ def links(docs: DataFrame, sigs: DataFrame, classes: DataFrame, region: int = RE
     return keep(found.unionByName(second.select("a", "b")), first, second)
 
 
-def jaccard_components(docs: DataFrame, region: int = REGION) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row of docs."""
+def jaccard_components(docs: DataFrame, region: int = REGION, handles: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row of docs.
+
+    handles: also h, the handle of the row's set, and root, that of its component; both -1 where it takes part in nothing."""
     all_sigs = stored(signatures(docs), "signatures")
     sigs = all_sigs.where("doc_id IS NOT NULL AND n > 0")
     classes = stored(sigs.groupBy("h").agg(F.min("doc_id").alias("rep")), "classes")
@@ -334,8 +336,11 @@ def jaccard_components(docs: DataFrame, region: int = REGION) -> DataFrame:
     roots = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
     tree = roots.join(classes, roots["node"] == classes["h"])
     smallest = tree.groupBy("root").agg(F.min("rep").alias("least"))
-    merged = roots.join(smallest, "root").select(F.col("node").alias("h"), "least")
-    ids = stored(classes.join(merged, "h", "left").select("h", F.coalesce("least", "rep").alias("component_id")), "components")
+    more = ["root"] if handles else []
+    merged = roots.join(smallest, "root").select(F.col("node").alias("h"), "least", *more)
+    own_root = [F.coalesce("root", "h").alias("root")] if handles else []
+    ids = stored(classes.join(merged, "h", "left").select("h", F.coalesce("least", "rep").alias("component_id"), *own_root), "components")
     out = all_sigs.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("h")).alias("h")).join(ids, "h", "left")
     alone = F.coalesce("component_id", "doc_id")
-    return keep(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), alone).alias("component_id")), all_sigs, ids)
+    marks = [F.when(F.col("doc_id").isNotNull(), F.coalesce(c, F.lit(-1).cast("long"))).otherwise(-1).alias(c) for c in ("h", "root")] if handles else []
+    return keep(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), alone).alias("component_id"), *marks), all_sigs, ids)
