@@ -320,3 +320,11 @@ def test_pipeline_decides_by_row(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
     got = Counter((r.doc_id, r.text) for r in stages["benchmark decontamination"](spark, docs, str(tmp_path)).collect())
     assert got == Counter([(None, b), (3, d), (4, None)])
+
+
+def test_cues_beside_a_dotted_capital():
+    assert [chr(c) for c in range(0x110000) if len(chr(c).lower()) != 1] == ["İ"]
+    auto, text = pii.build(), "HTTPS://e.org/x IBAN: DE44500105175407324931 TOKEN=abcdef0123456789 Password: 0123456789abcdef WWW.e.org"
+    plain = pii.spans_of(auto, text)
+    assert [len(plain[k]) for k in ("url", "account", "secret")] == [2, 1, 2]
+    assert pii.spans_of(auto, "İ " + text) == {k: [(a + 2, b + 2) for a, b in v] for k, v in plain.items()}
