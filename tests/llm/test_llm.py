@@ -328,3 +328,26 @@ def test_cues_beside_a_dotted_capital():
     plain = pii.spans_of(auto, text)
     assert [len(plain[k]) for k in ("url", "account", "secret")] == [2, 1, 2]
     assert pii.spans_of(auto, "İ " + text) == {k: [(a + 2, b + 2) for a, b in v] for k, v in plain.items()}
+
+
+def test_cotraining_looks_at_all_documents(spark):
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.choices(WORDS, k=20)), "en", f"s{i % 3}", 100) for i in range(2600)]
+    df = spark.createDataFrame([*rows, *[rows[7]] * 3], DOCS)
+    w = {v: [0.0] * n + [3.0] for v, n in (("t", cotraining.DIMS + cotraining._EXTRA), ("m", cotraining.META))}
+    import numpy as np
+
+    rest = cotraining._unlabelled(df, spark.createDataFrame([(i,) for i in range(100, 200)], "_id long"))
+    got = cotraining.gathered(rest, {v: np.array(x) for v, x in w.items()})
+    assert got["all"] == 2500 and all(sum(g[2] for g in got[v]) == 2500 and {g[0] for g in got[v]} == {1} for v in "tm")
+    picked = cotraining.most_confident(got["t"], cotraining.GIVE * got["all"])
+    assert abs(sum(n for _, n, _ in picked) - 125) < 1e-6
+
+
+def test_cotraining_sample_is_of_distinct_labels(spark, monkeypatch):
+    monkeypatch.setattr(cotraining, "LABELLED", 40)
+    docs = spark.createDataFrame([(i, "good words here" if i % 2 else "### $$$", "en", "s", 9) for i in range(60)], DOCS)
+    labels = [(i, i % 2) for i in range(60)]
+    first = spark.createDataFrame(labels, "doc_id long, y int").orderBy(F.xxhash64("doc_id")).first()
+    labels = spark.createDataFrame(labels + [tuple(first)] * 100, "doc_id long, quality int")
+    assert "w" in cotraining.fit(docs, labels)

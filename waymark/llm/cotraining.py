@@ -1,12 +1,14 @@
 """Quality classification by co-training of two views.
 
 One logistic model sees the text (hashed byte n-grams and a few shares of characters and repeats), the other only metadata
-(source, language, length column). In each round every view scores a pool of unlabelled documents and gives its most confident
-pseudo-labels to the other. Both are then calibrated on held-out labels and combined; all documents get the combined score.
-
-Labels and pool are bounded samples (LABELLED and POOL documents of smallest hash of doc_id); scoring covers all rows and whole
-texts. Null text counts as empty, null metadata as a value of its own. Without labels of both classes every score is the share
-of good labels (0.5 if none). Repeated rows each get a row; to learn from, a repeated doc_id counts once. Other columns are
+(source, language, length column). In each round every view scores all documents outside the labelled sample and gives its most
+confident pseudo-labels, the share GIVE of all of them more at each end than in the round before, to the other. Both are then
+calibrated on held-out labels and combined; all documents get the combined score.
+
+The labels are a bounded sample (LABELLED labels of smallest hash of doc_id). Pseudo-labelled documents are not collected: a view
+learns from their mean features in groups of like confidence and length, each weighing as its documents do, all together half as
+much as the labels at most. Scoring covers all rows and whole texts. Null text counts as empty, null metadata as a value of its own. Without labels of both classes every score is the share
+of good labels (0.5 if none). Repeated rows each get a row; to learn from, a repeated doc_id counts once (its rows by parts). Other columns are
 ignored."""
 
 from __future__ import annotations
@@ -16,8 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textarrays as ta
+from .common import few, keep, lean, stored
 
-DIMS, META, LABELLED, POOL, ROUNDS, GIVE = 2048, 256, 3000, 2000, 3, 100
+DIMS, META, LABELLED, ROUNDS, GIVE = 2048, 256, 3000, 3, 0.05
+#: Groups of pseudo-labelled documents: steps of a quarter in the logit beyond 1, and kinds of length in each.
+STEPS, KINDS = 32, 4
 RUN = 256
 _EXTRA = 7
 
@@ -107,37 +112,100 @@ def _rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return least.select("_y", "_f.*")
 
 
+def _unlabelled(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The inputs of the documents that are not in ids (_id), and the part of its doc_id that each row is."""
+    named = docs.where("doc_id IS NOT NULL").select(*_inputs(docs, F.col("doc_id").alias("_doc")))
+    twice = stored(named.groupBy("_doc").count().where("count > 1").select(F.col("_doc").alias("_twice"), (1 / F.col("count")).alias("_part")), "repeated")
+    rows = named.join(F.broadcast(ids), F.col("_doc") == F.col("_id"), "left_anti").join(few(twice), F.col("_doc") == F.col("_twice"), "left")
+    return keep(rows.select(F.coalesce("_part", F.lit(1.0)).alias("_part"), "_text", "_source", "_lang", "_n_chars"), twice)
+
+
+def gathered(rows: DataFrame, models: dict) -> dict:
+    """By receiving view: (label, step, documents, mean features) of each group of documents that the other view is confident of;
+    and under "all" the number of documents. Sums are added up by the tasks and by group; the driver gets one row a group."""
+    held = rows.sparkSession.sparkContext.broadcast(models)
+    sizes = {"t": DIMS + _EXTRA, "m": META}
+
+    def run(batches):
+        models, total = held.value, 0.0
+        sums = {v: np.zeros((2 * STEPS * KINDS, 1 + d)) for v, d in sizes.items()}
+        for b in batches:
+            part = b.column(0).to_numpy(zero_copy_only=False)
+            total += part.sum()
+            for first, buf, offs in ta.text_chunks(b.column(1)):
+                for i, some, at in ta.small_runs(buf, offs, RUN):
+                    k = slice(first + i, first + i + len(at) - 1)
+                    x = {"t": text_view(some, at), "m": meta_view(*(b.column(c).slice(k.start, k.stop - k.start).to_pylist() for c in (2, 3, 4)))}
+                    for v, other in (("t", "m"), ("m", "t")):
+                        z = logits(x[other], models[other])
+                        step = np.minimum((np.abs(z) - 1) * 4, STEPS - 1).astype(np.int64)
+                        group = ((z > 0) * STEPS + step) * KINDS + np.diff(at) % KINDS
+                        group[np.abs(z) <= 1] = -1
+                        for g in np.unique(group[group >= 0]):
+                            own = group == g
+                            w = part[k][own]
+                            sums[v][g, 0] += w.sum()
+                            sums[v][g, 1:] += w @ x[v][own]
+        out = [("all", 0, np.array([total]))] + [(v, int(g), s[g]) for v, s in sums.items() for g in np.flatnonzero(s[:, 0])]
+        views, groups, lists = zip(*out)
+        yield pa.RecordBatch.from_arrays([pa.array(views), pa.array(groups, pa.int32()), pa.array(lists, pa.list_(pa.float64()))], ["view", "group", "sums"])
+
+    def add(table):
+        total = np.sum(np.stack([x.values.to_numpy() for x in table.column("sums").combine_chunks()]), axis=0)
+        return pa.table({"view": table.column("view")[:1], "group": table.column("group")[:1], "sums": pa.array([total], pa.list_(pa.float64()))})
+
+    schema = "view string, group int, sums array<double>"
+    got = rows.mapInArrow(lean(run), schema).groupBy("view", "group").applyInArrow(add, schema).collect()  # a row a group
+    out: dict = {"all": 0.0, "t": [], "m": []}
+    for r in sorted(got, key=lambda r: (r["view"], r["group"])):
+        if r["view"] == "all":
+            out["all"] = r["sums"][0]
+        else:
+            s = np.array(r["sums"])
+            out[r["view"]].append((r["group"] // (STEPS * KINDS), r["group"] // KINDS % STEPS, s[0], (s[1:] / s[0]).astype(np.float32)))
+    return out
+
+
+def most_confident(groups: list, enough: float) -> list:
+    """(label, documents, mean features) of the groups of most confidence, at each end up to so many documents. Of the step that
+    holds the last of them each group counts in part."""
+    out = []
+    for label in (0, 1):
+        left = enough
+        for step in range(STEPS - 1, -1, -1):
+            own = [g for g in groups if g[0] == label and g[1] == step]
+            n = sum(g[2] for g in own)
+            if n and left > 0:
+                out += [(label, g[2] * min(1.0, left / n), g[3]) for g in own]
+                left -= n
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict:
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y"))
-    some = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(LABELLED)  # a bounded sample
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).distinct()
+    some = stored(known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(LABELLED), "labelled")  # a bounded sample
     y, t, m = _views(_rows_of(docs, some))
     if len(set(y.tolist())) < 2:
         return {"prior": float(np.mean(y)) if len(y) else 0.5}
-    pool_ids = docs.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(POOL).distinct()
-    _, pt, pm = _views(_rows_of(docs, pool_ids.select(F.col("doc_id").alias("_id"), F.lit(None).cast("int").alias("_y"))))
+    rest = _unlabelled(docs, some.select("_id").distinct())
     test = np.arange(len(y)) % 5 == 0
-    views, pools = {"t": t, "m": m}, {"t": pt, "m": pm}
-    given: dict = {"t": {}, "m": {}}  # pseudo-labels that each view got from the other
+    views = {"t": t, "m": m}
+    given: dict = {"t": [], "m": []}  # pseudo-labelled groups that each view got from the other
 
     def train(v):
-        own = given[v]
-        x = np.vstack([views[v][~test], pools[v][list(own)]]) if own else views[v][~test]
-        target = np.concatenate([y[~test], np.array(list(own.values()))])
-        share = target.mean()
+        own, n = given[v], int((~test).sum())
+        x = np.vstack([views[v][~test], *(g[2][None, :] for g in own)])
+        target = np.concatenate([y[~test], np.array([g[0] for g in own])])
+        pseudo = np.array([g[1] for g in own])
+        each = np.concatenate([np.ones(n), pseudo * min(0.5, 0.5 * n / max(pseudo.sum(), 1e-9))])
+        share = (each @ target) / each.sum()
         balance = np.where(target == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))
-        return logistic(x, target, balance * np.concatenate([np.ones((~test).sum()), np.full(len(own), 0.5)]))
+        return logistic(x, target, balance * each)
 
     models = {v: train(v) for v in views}
-    for _ in range(ROUNDS if len(pt) else 0):
-        for v, other in (("t", "m"), ("m", "t")):
-            z = logits(pools[v], models[v])
-            order = np.argsort(z, kind="stable")
-            for i in order[:GIVE]:
-                if z[i] < -1:
-                    given[other].setdefault(int(i), 0)
-            for i in order[::-1][:GIVE]:
-                if z[i] > 1:
-                    given[other].setdefault(int(i), 1)
+    for k in range(ROUNDS):
+        got = gathered(rest, models)
+        given = {v: most_confident(got[v], (k + 1) * GIVE * got["all"]) for v in views}
         models = {v: train(v) for v in views}
     scale = {}
     for v in views:  # Platt scaling on labels that no view has learned from
