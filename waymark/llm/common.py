@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 import uuid
-import weakref
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 SPACES = " \t\n\x0b\x0c\r"
 #: Rows of eight-byte ids that a broadcast may hold (about 64 MB as a hashed relation); more are shuffled.
 BROADCAST_IDS = 1_000_000
+_FOLDERS: set = set()
 
 
 def ascii_lower(c: Column) -> Column:
@@ -47,40 +47,61 @@ def lean(run):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """This session's own folder in spark.checkpoint.dir, which driver and executors share; it goes when the driver's JVM ends.
+
+    Where the setting is missing, a session on one machine gets a folder of its own; on a cluster that is an error."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir is not set: the text operators need a folder that driver and executors share")
         top = tempfile.mkdtemp(prefix="waymark-")
         spark.conf.set("spark.checkpoint.dir", top)
-        weakref.finalize(spark, shutil.rmtree, top, True)
-    return top
+    folder = f"{top.rstrip('/')}/waymark-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        system, path = _hadoop(spark, folder)
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _FOLDERS.add(folder)
+    return folder
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the session may have ended; its folder goes with it
-        pass
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back: a cut in the lineage that outlives lost executors.
 
-    The files go when neither the returned frame nor one that holds it by keep() is referred to any more."""
+    The files stay for the session, so any frame derived from the result can be read at any time."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/waymark/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    weakref.finalize(out, _remove, spark, path)
+    out._waymark_path = path
     return out
 
 
-def keep(result: DataFrame, *tables: DataFrame) -> DataFrame:
-    """result, which reads the stored tables and so keeps their files."""
-    result._waymark_reads = (*tables, *(x for t in tables for x in getattr(t, "_waymark_reads", ())))
-    return result
+def removed(*tables: DataFrame) -> None:
+    """Ends stored tables that nothing reads any more."""
+    for t in tables:
+        system, path = _hadoop(t.sparkSession, t._waymark_path)
+        system.delete(path, True)
+
+
+@contextmanager
+def working():
+    """A stored() whose tables end with the block: for what an operator needs on its way to its own result."""
+    made: list = []
+
+    def store(df: DataFrame, name: str) -> DataFrame:
+        made.append(stored(df, name))
+        return made[-1]
+
+    try:
+        yield store
+    finally:
+        removed(*made)
 
 
 def unused(df: DataFrame) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from .common import removed, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -12,10 +12,11 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, store=stored) -> DataFrame:
     """From edges (u, v) of bigints: node, root, the smallest node that it reaches. Nodes without an edge don't appear.
 
-    Each step only takes minima by key (with map-side combining) and joins on keys, so a hub is split by adaptive skew joins."""
+    Each step only takes minima by key (with map-side combining) and joins on keys, so a hub is split by adaptive skew joins.
+    store: what keeps the result's table."""
     now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = _state(now)
     while state[0]:
@@ -26,11 +27,12 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u")
         moved = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         tied = least.select("u", F.col("m").alias("v"))
-        now = stored(moved.unionByName(tied).distinct(), "edges")
+        old, now = now, stored(moved.unionByName(tied).distinct(), "edges")
+        removed(old)
         before, state = state, _state(now)
         if before == state:
             break
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    out = roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-    out._waymark_reads = (now,)
+    out = store(roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "roots")
+    removed(now)
     return out

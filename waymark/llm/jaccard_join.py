@@ -1,6 +1,6 @@
 """N-gram Jaccard join: all links of similarity 0.8 or more between sets of 5-word shingles, and their components.
 
-The metric is the Jaccard distance d = 1 - J, the radius R = 0.2. The join runs in three levels of regions.
+The metric is the Jaccard distance d = 1 - J, the radius R = 0.2. The join runs in levels of regions.
 
 1. Single shingles are the pivots. d(x, {s}) is 1 - 1/|x| if s is in x, else 1, so a document lies in the Voronoi regions of
    its own shingles; hash order, then rarity, says which come first. By the triangle inequality a document y within R of x
@@ -12,28 +12,39 @@ The metric is the Jaccard distance d = 1 - J, the radius R = 0.2. The join runs
    in which distances to the pivot are computed exactly. Members within R of it are one component; others meet the members
    that the window |d(x,p) - d(y,p)| <= R leaves, until they are linked. Larger regions than REGION are dealt out in parts,
    each of which has the pivot.
-3. Of regions in several parts, members that no link so far connects with the pivot are joined, in blocks, with the boundary
-   of the pivot's component and with each other, by the same window.
+3. Of regions in several parts, the members that no link so far connects with the pivot, and the boundary of its component
+   (the window again), are crowded. They are joined anew by the rules of 1 and 2, with the shingles now in order of rarity
+   among them: of x's shingles the |x| - ceil(0.8 |x|) + 1 rarest are its regions. What the members of a region have in
+   common is the commonest of their shingles and gives no region, so a long notice on many pages costs each page its own
+   shingles once. This repeats while the crowd shrinks to less than HALVED of what it was.
+4. What is left then are documents most of whose shingles most of the others have, unlinked all the same. They meet in blocks,
+   dealt by bands of the distance to their pivot, of which the window leaves only neighbours.
 
 Each computed similarity is exact on sets of 64-bit shingle hashes. Whole documents as the only pivots would be of no use:
 nearly all distances in a corpus of texts are 1, and a window of 2R then holds all documents.
 
 Null and empty texts and texts without words have no shingles and link with nothing; texts of fewer than five words are one
-shingle. Equal sets form one class, so copies are linked through it and not as pairs. A row with a null doc_id takes part in
-nothing: its component_id is null. Repeated rows each get a row. An empty table gives an empty result. Other columns are ignored."""
+shingle. Equal sets form one class, so copies are linked through it and not as pairs. A very long text is one set like others; a
+task holds one region's part at a time. Ties in rarity go by the shingle's hash, which changes no result. A row with a null
+doc_id takes part in nothing: its component_id is null. Repeated rows each get a row. An empty table gives an empty result.
+Other columns are ignored."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import textarrays as ta
-from .common import BROADCAST_IDS, keep, lean, stored
+from .common import BROADCAST_IDS, lean, stored, working
 from .components import components
 
 #: Documents that one task compares with each other at most (a part of a region with its pivot).
-REGION = 256
+REGION = 128
+#: A crowd is joined anew by rarity while that makes it less than this share of what it was.
+HALVED = 0.5
+#: Places of one document that travel to its text in one row.
+PLACES = 256
 #: Rows of shingle regions that one task holds, about.
 CELL_ROWS = 1_000_000
 
@@ -119,15 +130,12 @@ def _shared_cells(batches):
     yield pa.RecordBatch.from_arrays([pa.array(x[live]) for x in (s, h)] + [pa.array(df[live].astype(np.int64))], ["s", "h", "df"])
 
 
-def document_regions(sigs: DataFrame) -> DataFrame:
-    """(p, m): sets that lie in a shingle's region, with the region's smallest member p. All linked sets are together in one."""
-    rows = sigs.where(F.size("cells") > 0).select("h", F.explode("cells").alias("s"))
-    sizes = sigs.groupBy("h").agg(F.min("n").alias("n"))
-    n_rows = sigs.agg(F.sum(F.size("cells").cast("long"))).first()[0] or 0
-    session = sigs.sparkSession
-    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // CELL_ROWS))
-    # Shingles with more than a 2000th of all rows are at most 2000; a sample finds them, whatever the size. They are
-    # counted with map-side combining and joined by broadcast; all others are dealt out by shingle.
+def _counted(rows: DataFrame, n_rows: int) -> DataFrame:
+    """(s, h, df) of (h, s) rows: those of shingles that two sets or more have, with the number of these sets.
+
+    Shingles with more than a 2000th of all rows are at most 2000; a sample finds them, whatever the size. They are counted
+    with map-side combining and joined by broadcast; all others are dealt out by shingle."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // CELL_ROWS))
     rate = min(1.0, 1e6 / max(1, n_rows))
     found = rows.sample(rate, 7).groupBy("s").count().where(F.col("count") > F.lit(max(1000.0, rate * n_rows / 2000)))
     hot = [r["s"] for r in found.collect()]
@@ -137,17 +145,42 @@ def document_regions(sigs: DataFrame) -> DataFrame:
         warm = rows.where(F.col("s").isin(hot)).distinct()
         crowd = warm.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
         shared = shared.unionByName(warm.join(F.broadcast(crowd), "s").select("s", "h", "df"))
-    shared = shared.join(sizes, "h")
+    return shared
+
+
+def _around_pivots(cells: DataFrame) -> DataFrame:
+    """(p, m) of (s, h) rows: sets that share a shingle's region, with its smallest member p."""
+    pivots = cells.groupBy("s").agg(F.min("h").alias("p"), F.max("h").alias("_q")).where("p <> _q").select("s", "p")
+    return cells.join(pivots, "s").where("p <> h").select("p", F.col("h").alias("m")).distinct()
+
+
+def document_regions(sigs: DataFrame, store=stored) -> DataFrame:
+    """(p, m): sets that lie in a shingle's region, with the region's smallest member p. All linked sets are together in one."""
+    rows = sigs.where(F.size("cells") > 0).select("h", F.explode("cells").alias("s"))
+    sizes = sigs.groupBy("h").agg(F.min("n").alias("n"))
+    shared = _counted(rows, sigs.agg(F.sum(F.size("cells").cast("long"))).first()[0] or 0).join(sizes, "h")
     n = F.col("n")
     partner = F.floor((4 * n + 4) / 5).cast("long")  # the smallest partner's size
     leave = F.least(F.floor(partner / 5), 16 + F.floor(partner / 20)).cast("long")
-    from pyspark.sql import Window
-
     crowded = Window.partitionBy("h").orderBy(F.col("df").desc(), "s")
-    left = stored(shared.withColumn("_k", F.row_number().over(crowded)).where(F.col("_k") > leave).select("s", "h"), "cells")
-    pivots = left.groupBy("s").agg(F.min("h").alias("p"), F.max("h").alias("_q")).where("p <> _q").select("s", "p")
-    out = left.join(pivots, "s").where("p <> h").select("p", F.col("h").alias("m")).distinct()
-    return keep(stored(out, "regions"))
+    with working() as brief:
+        left = brief(shared.withColumn("_k", F.row_number().over(crowded)).where(F.col("_k") > leave).select("s", "h"), "cells")
+        return store(_around_pivots(left), "regions")
+
+
+def rare_regions(sets: DataFrame, store=stored) -> DataFrame:
+    """(p, m) of (m, set) rows, by the rarest shingles of each set: of a set of n the n - ceil(0.8 n) + 1 rarest among all rows.
+
+    Of two linked sets the rarest common shingle is one of these on both sides, as each lacks at most n - ceil(0.8 n) of its own."""
+    with working() as brief:
+        rows = brief(sets.select(F.col("m").alias("h"), F.explode("set").alias("s")), "shingles")
+        shared = _counted(rows, rows.count())
+        sizes = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+        n, all_shared = F.col("n"), Window.partitionBy("h")
+        ranked = shared.join(sizes, "h").withColumn("_k", F.row_number().over(all_shared.orderBy("df", "s"))).withColumn("_c", F.count(F.lit(1)).over(all_shared))
+        # shingles that no other set has are the rarest, so they take their places before the shared ones
+        left = ranked.where(n - F.col("_c") + F.col("_k") <= n - F.floor((4 * n + 4) / 5) + 1)
+        return store(_around_pivots(brief(left.select("s", "h"), "cells")), "regions")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -244,10 +277,10 @@ def _first_join(batches):
 
 
 def _second_join(batches):
-    """Rows (p, i, j, m, d, o, outer, set): block i of those outside the pivot's component (o) against block j of all that are
+    """Rows (p, block, m, d, o, outer, set): a block of those outside the pivot's component (o) against a block of all that are
     left. Members that are not outer are one component."""
     out = []
-    for (p, _, _), rows in _grouped(batches, 3):
+    for (p, _), rows in _grouped(batches, 2):
         sets, known = {r[0]: r[-1] for r in rows}, {r[0]: r[1] for r in rows}
         outer, inner = sorted({r[0] for r in rows if r[2]}), sorted({r[0] for r in rows if not r[2]})
         links, _ = join_region(p, sets, outer, inner, known, [r[0] for r in rows if not r[3]])
@@ -255,17 +288,28 @@ def _second_join(batches):
     yield from _emit(out)
 
 
-def _placed_sets(docs: DataFrame, placed: DataFrame, classes: DataFrame, fields: str) -> DataFrame:
+def _placed_sets(docs: DataFrame, placed: DataFrame, classes: DataFrame, fields: str, brief) -> DataFrame:
     """The rows of placed (m and the given fields), each with the set of m, which is worked out beside its text.
 
-    The places of a document, at most one for each of its cells, travel as one list to the document, by broadcast if there are
-    few; only the sets are then dealt out."""
+    The places of a document travel as lists of PLACES at most to its text, by broadcast if there are few; only the sets are
+    then dealt out. Documents with several lists are dealt out by list first, so no task emits all sets of one document."""
     names = [f.split()[0] for f in fields.split(", ")]
-    lists = placed.join(classes, placed["m"] == classes["h"]).groupBy("rep").agg(F.collect_list(F.struct(*names)).alias("places"))
-    lists = stored(lists, "places")
+    by_rep = brief(placed.join(classes, placed["m"] == classes["h"]).select(*names, "rep"), "placed")
+    counts = by_rep.groupBy("rep").agg(F.count(F.lit(1)).alias("_n"))
+    many = brief(counts.where(F.col("_n") > PLACES).select(F.col("rep").alias("_many"), F.ceil(F.col("_n") / PLACES).cast("long").alias("_lists")), "many")
+    spread = by_rep.join(F.broadcast(many) if many.count() <= BROADCAST_IDS else many, F.col("rep") == F.col("_many"), "left")
+    spread = spread.withColumn("_list", F.coalesce(F.pmod(F.xxhash64(*names), "_lists"), F.lit(0)))
+    lists = brief(spread.groupBy("rep", "_list", F.col("_many").isNotNull().alias("_far")).agg(F.collect_list(F.struct(*names)).alias("places")), "places")
     small = (lists.agg(F.sum(F.size("places").cast("long"))).first()[0] or 0) <= BROADCAST_IDS // 2
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = texts.join(F.broadcast(lists) if small else lists, texts["doc_id"] == lists["rep"]).select("doc_id", "text", "places")
+
+    def beside(own):
+        return texts.join(F.broadcast(own) if small else own, texts["doc_id"] == own["rep"]).select("doc_id", "text", "places", "_list")
+
+    rows = beside(lists.where("NOT _far"))
+    if not many.isEmpty():
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.unionByName(beside(lists.where("_far")).repartition(parts, "doc_id", "_list"))
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
     types = [kinds[f.split()[1]] for f in fields.split(", ")]
 
@@ -288,59 +332,90 @@ def _placed_sets(docs: DataFrame, placed: DataFrame, classes: DataFrame, fields:
                         yield pa.RecordBatch.from_arrays([*cols, _lists(sets)], [*names, "set"])
                         rows, sets, held = [], [], 0
 
-    return keep(rows.mapInArrow(lean(run), f"{fields}, set array<long>"), lists)
+    return rows.select("doc_id", "text", "places").mapInArrow(lean(run), f"{fields}, set array<long>")
 
 
-def links(docs: DataFrame, sigs: DataFrame, classes: DataFrame, region: int = REGION) -> DataFrame:
-    """(a, b): links that span each component of sets."""
-    regions = document_regions(sigs)
+def _pivot_links(docs: DataFrame, regions: DataFrame, classes: DataFrame, region: int, store) -> DataFrame:
+    """The links within each part of the regions, and the members of regions in several parts with their distance (_LINKS)."""
     pivots = regions.groupBy("p").agg(F.count(F.lit(1)).alias("size"))
     pivots = pivots.select("p", F.ceil(F.col("size") / region).cast("int").alias("parts"))
     members = regions.join(pivots, "p").select("p", F.pmod(F.xxhash64("m"), "parts").cast("int").alias("part"), "parts", "m")
     own = pivots.select("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts", F.col("p").alias("m"))
-    placed = _placed_sets(docs, members.unionByName(own), classes, "p long, part int, parts int, m long")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = placed.repartition(n, "p", "part").sortWithinPartitions("p", "part").mapInArrow(lean(_first_join), _LINKS)
-    first = stored(first, "links")
-    found = first.where("kind = 0").select("a", "b")
-    if first.where("kind = 1 AND d > 0.2").isEmpty():
-        return keep(found, first)
-    # what the first links connect needs no more comparing: a region is done when all its members are in its pivot's component
-    roots = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    rooted = first.where("kind = 1").join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
-    rooted = rooted.join(roots.select(F.col("node").alias("p"), F.col("root").alias("rp")), "p", "left")
-    rooted = rooted.select("p", "a", "d", (F.coalesce("ra", "a") != F.coalesce("rp", "p")).alias("outer"))
-    rooted = stored(rooted, "rooted")
-    near = rooted.where("outer").groupBy("p").agg(F.min("d").alias("least"), F.ceil(F.count(F.lit(1)) / region).cast("int").alias("rows"))
-    rest = rooted.join(near, "p").where("outer OR d >= least - 0.2 - 1e-9")
-    blocks = rest.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / region).cast("int").alias("cols"))
-    rest = rest.join(blocks, "p").select("p", F.col("a").alias("m"), "d", "outer", "rows", "cols", F.xxhash64("a").alias("_z"))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own_block = lambda n: F.pmod("_z", n).cast("int")
-    left = rest.where("outer").select("p", own_block("rows").alias("i"), spread("cols").alias("j"), "m", "d", F.lit(True).alias("o"), "outer")
-    right = rest.select("p", spread("rows").alias("i"), own_block("cols").alias("j"), "m", "d", F.lit(False).alias("o"), "outer")
-    blocked = _placed_sets(docs, left.unionByName(right), classes, "p long, i int, j int, m long, d double, o boolean, outer boolean")
-    pairs = blocked.repartition(n, "p", "i", "j").sortWithinPartitions("p", "i", "j")
-    second = stored(pairs.mapInArrow(lean(_second_join), _LINKS), "links")
-    return keep(found.unionByName(second.select("a", "b")), first, second)
+    with working() as brief:
+        placed = _placed_sets(docs, members.unionByName(own), classes, "p long, part int, parts int, m long", brief)
+        dealt = placed.repartition(n, "p", "part").sortWithinPartitions("p", "part")
+        return store(dealt.mapInArrow(lean(_first_join), _LINKS), "links")
+
+
+def _unresolved(found: DataFrame, seen: DataFrame, store) -> DataFrame:
+    """(p, m, d, outer) of regions in several parts (seen: p, a, d): members that the links found don't connect with the pivot
+    (outer), and those of its component that the window leaves beside them. None of a region without outer members."""
+    with working() as brief:
+        roots = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")), brief)
+        rooted = seen.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
+        rooted = rooted.join(roots.select(F.col("node").alias("p"), F.col("root").alias("rp")), "p", "left")
+        rooted = brief(rooted.select("p", F.col("a").alias("m"), "d", (F.coalesce("ra", "a") != F.coalesce("rp", "p")).alias("outer")), "rooted")
+        near = rooted.where("outer").groupBy("p").agg(F.min("d").alias("least"))
+        return store(rooted.join(near, "p").where("outer OR d >= least - 0.2 - 1e-9").select("p", "m", "d", "outer"), "unresolved")
+
+
+def _block_links(docs: DataFrame, left: DataFrame, classes: DataFrame, region: int, store, brief) -> DataFrame:
+    """(a, b): links between outer members and all others of their region, in blocks. Bands of distance to the pivot are as wide
+    as the window, so a block meets only blocks of its own band and the two beside it."""
+    rows = left.withColumn("band", F.floor(F.col("d") * 5).cast("int"))
+    blocks = lambda x, n: x.groupBy("p", "band").agg(F.ceil(F.count(F.lit(1)) / region).cast("int").alias(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outer = blocks(rows.where("outer"), "rows").select(F.col("p").alias("bp"), F.col("band").alias("rb"), "rows", each("rows").alias("i"))
+    inner = blocks(rows, "cols").select(F.col("p").alias("cp"), F.col("band").alias("cb"), "cols", each("cols").alias("j"))
+    pairs = outer.join(inner, (F.col("bp") == F.col("cp")) & (F.abs(F.col("rb") - F.col("cb")) <= 1))  # of blocks, not documents
+    pairs = brief(pairs.select("bp", "rb", "rows", "i", "cb", "cols", "j", F.xxhash64("bp", "rb", "i", "cb", "j").alias("block")), "blocks")
+    own = lambda band, n, at: (F.col("p") == F.col("bp")) & (F.col("band") == F.col(band)) & (F.pmod(F.xxhash64("m"), n) == F.col(at))
+    fields = lambda o: ("p", "block", "m", "d", F.lit(o).alias("o"), "outer")
+    sides = rows.where("outer").join(pairs, own("rb", "rows", "i")).select(*fields(True))
+    sides = sides.unionByName(rows.join(pairs, own("cb", "cols", "j")).select(*fields(False)))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocked = _placed_sets(docs, sides, classes, "p long, block long, m long, d double, o boolean, outer boolean", brief)
+    joined = blocked.repartition(n, "p", "block").sortWithinPartitions("p", "block").mapInArrow(lean(_second_join), _LINKS)
+    return store(joined.select("a", "b"), "links")
+
+
+def links(docs: DataFrame, sigs: DataFrame, classes: DataFrame, region: int = REGION, store=stored) -> DataFrame:
+    """(a, b): links that span each component of sets."""
+    with working() as brief:
+        first = _pivot_links(docs, document_regions(sigs, brief), classes, region, store)
+        found, seen, crowd_before = first.where("kind = 0").select("a", "b"), first.where("kind = 1"), None
+        while not seen.where("d > 0.2").isEmpty():
+            left = _unresolved(found, seen.select("p", "a", "d"), brief)
+            crowd = brief(left.select("m").distinct(), "crowd")  # pivots have met all of their region
+            size = crowd.count()
+            if not size:
+                break
+            if crowd_before is not None and size > HALVED * crowd_before:
+                return found.unionByName(_block_links(docs, left, classes, region, store, brief))
+            sets = _placed_sets(docs, crowd, classes, "m long", brief)
+            more = _pivot_links(docs, rare_regions(sets, brief), classes, region, store)
+            found, seen, crowd_before = found.unionByName(more.where("kind = 0").select("a", "b")), more.where("kind = 1"), size
+        return found
 
 
 def jaccard_components(docs: DataFrame, region: int = REGION, handles: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row of docs.
 
     handles: also h, the handle of the row's set, and root, that of its component; both -1 where it takes part in nothing."""
-    all_sigs = stored(signatures(docs), "signatures")
-    sigs = all_sigs.where("doc_id IS NOT NULL AND n > 0")
-    classes = stored(sigs.groupBy("h").agg(F.min("doc_id").alias("rep")), "classes")
-    found = links(docs, sigs, classes, region)
-    roots = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    tree = roots.join(classes, roots["node"] == classes["h"])
-    smallest = tree.groupBy("root").agg(F.min("rep").alias("least"))
-    more = ["root"] if handles else []
-    merged = roots.join(smallest, "root").select(F.col("node").alias("h"), "least", *more)
-    own_root = [F.coalesce("root", "h").alias("root")] if handles else []
-    ids = stored(classes.join(merged, "h", "left").select("h", F.coalesce("least", "rep").alias("component_id"), *own_root), "components")
-    out = all_sigs.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("h")).alias("h")).join(ids, "h", "left")
-    alone = F.coalesce("component_id", "doc_id")
-    marks = [F.when(F.col("doc_id").isNotNull(), F.coalesce(c, F.lit(-1).cast("long"))).otherwise(-1).alias(c) for c in ("h", "root")] if handles else []
-    return keep(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), alone).alias("component_id"), *marks), all_sigs, ids)
+    with working() as brief:
+        all_sigs = brief(signatures(docs), "signatures")
+        sigs = all_sigs.where("doc_id IS NOT NULL AND n > 0")
+        classes = brief(sigs.groupBy("h").agg(F.min("doc_id").alias("rep")), "classes")
+        found = links(docs, sigs, classes, region, brief)
+        roots = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")), brief)
+        tree = roots.join(classes, roots["node"] == classes["h"])
+        smallest = tree.groupBy("root").agg(F.min("rep").alias("least"))
+        more = ["root"] if handles else []
+        merged = roots.join(smallest, "root").select(F.col("node").alias("h"), "least", *more)
+        own_root = [F.coalesce("root", "h").alias("root")] if handles else []
+        ids = classes.join(merged, "h", "left").select("h", F.coalesce("least", "rep").alias("component_id"), *own_root)
+        out = all_sigs.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("h")).alias("h")).join(ids, "h", "left")
+        alone = F.coalesce("component_id", "doc_id")
+        marks = [F.when(F.col("doc_id").isNotNull(), F.coalesce(c, F.lit(-1).cast("long"))).otherwise(-1).alias(c) for c in ("h", "root")] if handles else []
+        return stored(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), alone).alias("component_id"), *marks), "joined")

@@ -3,7 +3,9 @@
 Groups are equal texts (null is one group, the empty text another); they are ordered by the hash of the text and never
 split. The smallest feasible capacity is found by binary search with a greedy check. The order's prefix sums are held in
 buckets of the hash; only buckets in which a cut may fall are refined, so the driver holds a bounded table at every size.
-Repeated rows are rows of one group. An empty table gives an empty result. Rows with a null doc_id are placed like others.
+Repeated rows are rows of one group. A very long text is one group like others, and if it is larger than an even share, the
+capacity is its size. Equal hashes of different texts would make one group; ties in size change nothing, as the order is that of
+the hash. An empty table gives an empty result. Rows with a null doc_id are placed like others.
 Columns besides doc_id and text are ignored."""
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import keep, stored
+from .common import removed, stored
 
 #: The driver first holds 2**FIRST_BITS ranges of the order; a range in which a cut may fall is split into 2**MORE_BITS.
 FIRST_BITS, MORE_BITS, KEY_BITS = 12, 6, 60
@@ -128,28 +130,24 @@ def plan_cuts(groups: DataFrame, n_shards: int, first_bits: int = FIRST_BITS, mo
 
 def shard(docs: DataFrame, n_shards: int = 24) -> DataFrame:
     """Every row's shard and its slot in it: doc_id, size, text_crc32, law, shard, slot, grown_shard (null: law `bytes`)."""
-    rows = stored(sized(docs), "sized")
+    rows = stored(sized(docs).withColumn("row", F.monotonically_increasing_id()), "sized")
     groups = stored(rows.groupBy("k1", "k2").agg(F.sum("size").alias("bytes")), "groups")
     _, lasts = plan_cuts(groups, n_shards)
+    removed(groups)
     n = rows.count()
     number = F.lit(0)
     for k1, k2 in lasts:
         number = number + F.when((F.col("k1") > k1) | ((F.col("k1") == k1) & (F.col("k2") > k2)), 1).otherwise(0)
-    # slots: rows of a shard are dealt by doc_id over small blocks; a block's first slot is the rows in blocks before it
+    # slots: rows of a shard are dealt over small blocks by their stored number, so copies and repeated rows spread alike; a
+    # block's first slot is the rows in blocks before it
     blocks = max(1, -(-n // (SLOT_ROWS * n_shards)) * 8)
-    placed = rows.withColumn("shard", number.cast("int")).withColumn(
-        "_block", F.pmod(F.xxhash64("doc_id", "k1"), F.lit(blocks)).cast("int")
-    )
+    placed = rows.withColumn("shard", number.cast("int")).withColumn("_block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
     counts = placed.groupBy("shard", "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("shard", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy("shard", "_block").orderBy("doc_id", "k1", "k2")
+    within = Window.partitionBy("shard", "_block").orderBy("row")
     out = placed.withColumn("_at", F.row_number().over(within) - 1).join(first, ["shard", "_block"])
-    return keep(
-        out.select(
-            "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-            (F.col("_first") + F.col("_at")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-        ),
-        rows,
-        groups,
-    )
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+        (F.col("_first") + F.col("_at")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+    )

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MULT = (0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x589965CC75374CC3)
 _POWERS: dict = {}
