@@ -7,9 +7,11 @@ calibrated on held-out labels and combined; all documents get the combined score
 
 The labels are a bounded sample (LABELLED labels of smallest hash of doc_id). Pseudo-labelled documents are not collected: a view
 learns from their mean features in groups of like confidence and length, each weighing as its documents do, all together half as
-much as the labels at most. Scoring covers all rows and whole texts. Null text counts as empty, null metadata as a value of its own. Without labels of both classes every score is the share
-of good labels (0.5 if none). Repeated rows each get a row; to learn from, a repeated doc_id counts once (its rows by parts). Other columns are
-ignored."""
+much as the labels at most. Scoring covers all rows and whole texts, very long ones like others. Null text counts as empty, null
+metadata as a value of its own. Without labels of both classes every score is the share of good labels (0.5 if none). Repeated
+rows each get a row; to learn from, a repeated doc_id counts once (its rows by parts). Ties in confidence are given in equal
+parts, and learned rows stand in the order of their doc_id's hash, so equal inputs give equal models. An empty table gets no
+rows. Other columns are ignored."""
 
 from __future__ import annotations
 
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textarrays as ta
-from .common import few, keep, lean, stored
+from .common import few, lean, stored, working
 
 DIMS, META, LABELLED, ROUNDS, GIVE = 2048, 256, 3000, 3, 0.05
 #: Groups of pseudo-labelled documents: steps of a quarter in the logit beyond 1, and kinds of length in each.
@@ -44,11 +46,10 @@ def text_view(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.hstack([v, more]).astype(np.float32)
 
 
-def meta_view(source, lang, n_chars) -> np.ndarray:
-    out = np.zeros((len(source), META), dtype=np.float32)
-    for i, (s, g, n) in enumerate(zip(source, lang, n_chars)):
-        for part, value, at, size in (("s", s, 0, 160), ("l", g, 160, 64), ("n", None if n is None else int(np.log2(max(1, n))), 224, 32)):
-            out[i, at + int(ta.mix(np.array([sum((ord(c) + 1) * 257**k for k, c in enumerate(f"{part}{value}")) % 2**63], dtype=np.uint64))[0] % np.uint64(size))] = 1
+def meta_view(places: np.ndarray) -> np.ndarray:
+    """One place each for source, language and length, which _inputs has hashed."""
+    out = np.zeros((len(places), META), dtype=np.float32)
+    out[np.arange(len(places))[:, None], places] = 1
     return out
 
 
@@ -73,8 +74,12 @@ def logits(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x @ w[:-1].astype(x.dtype) + w[-1]
 
 
+def _places(batch: pa.RecordBatch, rows: slice) -> np.ndarray:
+    return np.stack([batch.column(c).slice(rows.start, rows.stop - rows.start).to_numpy() for c in (2, 3, 4)], axis=1)
+
+
 def features(docs: DataFrame) -> DataFrame:
-    """label, both views of each row: a bounded sample's way to the driver."""
+    """label, key, both views of each row: a bounded sample's way to the driver."""
 
     def run(batches):
         for b in batches:
@@ -82,11 +87,12 @@ def features(docs: DataFrame) -> DataFrame:
                 for i, part, at in ta.small_runs(buf, offs, RUN):
                     k = slice(first + i, first + i + len(at) - 1)
                     t = text_view(part, at)
-                    m = meta_view(*(b.column(c).slice(k.start, k.stop - k.start).to_pylist() for c in (2, 3, 4)))
+                    m = meta_view(_places(b, k))
                     lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.float32())) for x in (t, m)]
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(k.start, k.stop - k.start), *lists], ["label", "t", "m"])
+                    own = [b.column(c).slice(k.start, k.stop - k.start) for c in (0, 5)]
+                    yield pa.RecordBatch.from_arrays([*own, *lists], ["label", "key", "t", "m"])
 
-    return docs.mapInArrow(run, "label int, t array<float>, m array<float>")
+    return docs.mapInArrow(lean(run), "label int, key long, t array<float>, m array<float>")
 
 
 def _views(docs: DataFrame):
@@ -96,28 +102,33 @@ def _views(docs: DataFrame):
     mat = lambda c, d: got.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
     t, m = mat("t", DIMS + _EXTRA), mat("m", META)
     y = np.array([-1 if v is None else v for v in got.column("label").to_pylist()])
-    order = np.lexsort(t[:, -_EXTRA:].T)
+    order = np.lexsort((y, got.column("key").to_numpy()))  # the same rows in the same order, however they arrive
     return y[order], t[order], m[order]
 
 
 def _inputs(docs: DataFrame, label) -> list:
-    has = lambda c, kind: (F.col(c) if c in docs.columns else F.lit(None)).cast(kind).alias(f"_{c}")
-    return [label, F.coalesce("text", F.lit("")).alias("_text"), has("source", "string"), has("lang", "string"), has("n_chars", "long")]
+    """label, the text, and the places of source, language and length in the metadata view. A null, or a column that is missing, is
+    a value of its own."""
+    has = lambda c, kind: (F.col(c) if c in docs.columns else F.lit(None)).cast(kind)
+    place = lambda part, c, at, size: (F.pmod(F.xxhash64(F.lit(part), c), F.lit(size)) + at).cast("int").alias(f"_{part}")
+    length = F.floor(F.log2(F.greatest(F.lit(1), has("n_chars", "long"))))
+    length = F.when(has("n_chars", "long").isNotNull(), length.cast("long"))
+    return [label, F.coalesce("text", F.lit("")).alias("_text"), place("s", has("source", "string"), 0, 160), place("l", has("lang", "string"), 160, 64), place("n", length, 224, 32)]
 
 
 def _rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The inputs of the documents of ids (_id, label _y: a bounded sample). A repeated doc_id gives one row, the least."""
+    """The inputs of the documents of ids (_id, label _y: a bounded sample), and a key. A repeated doc_id gives one row, the least."""
     rows = docs.select(*_inputs(docs, F.col("doc_id").alias("_doc"))).join(F.broadcast(ids), F.col("_doc") == F.col("_id"))
-    least = rows.groupBy("_id", "_y").agg(F.min(F.struct("_text", "_source", "_lang", "_n_chars")).alias("_f"))
-    return least.select("_y", "_f.*")
+    least = rows.groupBy("_id", "_y").agg(F.min(F.struct("_text", "_s", "_l", "_n")).alias("_f"))
+    return least.select("_y", "_f.*", F.xxhash64("_id").alias("_key"))
 
 
-def _unlabelled(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _unlabelled(docs: DataFrame, ids: DataFrame, store=stored) -> DataFrame:
     """The inputs of the documents that are not in ids (_id), and the part of its doc_id that each row is."""
     named = docs.where("doc_id IS NOT NULL").select(*_inputs(docs, F.col("doc_id").alias("_doc")))
-    twice = stored(named.groupBy("_doc").count().where("count > 1").select(F.col("_doc").alias("_twice"), (1 / F.col("count")).alias("_part")), "repeated")
+    twice = store(named.groupBy("_doc").count().where("count > 1").select(F.col("_doc").alias("_twice"), (1 / F.col("count")).alias("_part")), "repeated")
     rows = named.join(F.broadcast(ids), F.col("_doc") == F.col("_id"), "left_anti").join(few(twice), F.col("_doc") == F.col("_twice"), "left")
-    return keep(rows.select(F.coalesce("_part", F.lit(1.0)).alias("_part"), "_text", "_source", "_lang", "_n_chars"), twice)
+    return rows.select(F.coalesce("_part", F.lit(1.0)).alias("_part"), "_text", "_s", "_l", "_n")
 
 
 def gathered(rows: DataFrame, models: dict) -> dict:
@@ -135,7 +146,7 @@ def gathered(rows: DataFrame, models: dict) -> dict:
             for first, buf, offs in ta.text_chunks(b.column(1)):
                 for i, some, at in ta.small_runs(buf, offs, RUN):
                     k = slice(first + i, first + i + len(at) - 1)
-                    x = {"t": text_view(some, at), "m": meta_view(*(b.column(c).slice(k.start, k.stop - k.start).to_pylist() for c in (2, 3, 4)))}
+                    x = {"t": text_view(some, at), "m": meta_view(_places(b, k))}
                     for v, other in (("t", "m"), ("m", "t")):
                         z = logits(x[other], models[other])
                         step = np.minimum((np.abs(z) - 1) * 4, STEPS - 1).astype(np.int64)
@@ -182,20 +193,31 @@ def most_confident(groups: list, enough: float) -> list:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict:
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).distinct()
-    some = stored(known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(LABELLED), "labelled")  # a bounded sample
-    y, t, m = _views(_rows_of(docs, some))
-    if len(set(y.tolist())) < 2:
-        return {"prior": float(np.mean(y)) if len(y) else 0.5}
-    rest = _unlabelled(docs, some.select("_id").distinct())
-    test = np.arange(len(y)) % 5 == 0
-    views = {"t": t, "m": m}
-    given: dict = {"t": [], "m": []}  # pseudo-labelled groups that each view got from the other
+    """The two models, their scales and their mix. A tenth of the sample fits the scales, another tenth the mix; no view has learned
+    from either."""
+    with working() as brief:
+        known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).distinct()
+        some = brief(known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(LABELLED), "labelled")  # a bounded sample
+        y, t, m = _views(_rows_of(docs, some))
+        if len(set(y.tolist())) < 2:
+            return {"prior": float(np.mean(y)) if len(y) else 0.5}
+        rest = _unlabelled(docs, some.select("_id").distinct(), brief)
+        return trained(y, {"t": t, "m": m}, lambda models: gathered(rest, models))
+
+
+def trained(y: np.ndarray, views: dict, gather) -> dict:
+    """Co-training on labelled rows in a fixed order; gather(models) gives the groups of pseudo-labelled documents."""
+    turn = np.arange(len(y)) % 10
+    for_scale, for_mix = turn == 0, turn == 5
+    own_rows = ~(for_scale | for_mix)
+    if len(y) < 50:  # too few to spare any
+        for_scale = for_mix = own_rows = np.ones(len(y), dtype=bool)
+    given: dict = {v: [] for v in views}  # pseudo-labelled groups that each view got from the other
 
     def train(v):
-        own, n = given[v], int((~test).sum())
-        x = np.vstack([views[v][~test], *(g[2][None, :] for g in own)])
-        target = np.concatenate([y[~test], np.array([g[0] for g in own])])
+        own, n = given[v], int(own_rows.sum())
+        x = np.vstack([views[v][own_rows], *(g[2][None, :] for g in own)])
+        target = np.concatenate([y[own_rows], np.array([g[0] for g in own])])
         pseudo = np.array([g[1] for g in own])
         each = np.concatenate([np.ones(n), pseudo * min(0.5, 0.5 * n / max(pseudo.sum(), 1e-9))])
         share = (each @ target) / each.sum()
@@ -204,15 +226,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict:
 
     models = {v: train(v) for v in views}
     for k in range(ROUNDS):
-        got = gathered(rest, models)
+        got = gather(models)
         given = {v: most_confident(got[v], (k + 1) * GIVE * got["all"]) for v in views}
         models = {v: train(v) for v in views}
     scale = {}
-    for v in views:  # Platt scaling on labels that no view has learned from
-        z = logits(views[v][test], models[v])[:, None].astype(np.float32)
-        scale[v] = logistic(z, y[test], np.ones(test.sum()), 1e-3, 500)
-    both = np.stack([scale[v][0] * logits(views[v][test], models[v]) + scale[v][1] for v in views], axis=1).astype(np.float32)
-    return {"w": models, "scale": scale, "mix": logistic(both, y[test], np.ones(test.sum()), 1e-2, 500), "prior": float(y.mean())}
+    for v in views:  # Platt scaling
+        z = logits(views[v][for_scale], models[v])[:, None].astype(np.float32)
+        scale[v] = logistic(z, y[for_scale], np.ones(for_scale.sum()), 1e-3, 500)
+    both = np.stack([scale[v][0] * logits(views[v][for_mix], models[v]) + scale[v][1] for v in views], axis=1).astype(np.float32)
+    return {"w": models, "scale": scale, "mix": logistic(both, y[for_mix], np.ones(for_mix.sum()), 1e-2, 500), "prior": float(y.mean())}
 
 
 def score(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
@@ -229,7 +251,7 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
                 for first, buf, offs in ta.text_chunks(b.column(1)):
                     for i, part, at in ta.small_runs(buf, offs, RUN):
                         k = slice(first + i, first + i + len(at) - 1)
-                        views = {"t": text_view(part, at), "m": meta_view(*(b.column(c).slice(k.start, k.stop - k.start).to_pylist() for c in (2, 3, 4)))}
+                        views = {"t": text_view(part, at), "m": meta_view(_places(b, k))}
                         z = np.stack([model["scale"][v][0] * logits(x, model["w"][v]) + model["scale"][v][1] for v, x in views.items()], axis=1)
                         out[0, k], out[1, k] = squash(z[:, 0]), squash(z[:, 1])
                         out[2, k] = squash(logits(z, model["mix"]))
