@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..spec import BINS, TRIM
 
+#: Values that are sorted in one place at most, and the accuracy of the quantiles that bracket them.
+SORTED, QUANTILE_ACCURACY = 100_000, 10_000
+
 
 def uid_metrics(detail: DataFrame, by: tuple = ("uid",)) -> DataFrame:
     """time, distance (nulls as 0) and cnt of each user."""
@@ -22,9 +27,13 @@ def day_stats(metrics: DataFrame, date: str = "date") -> DataFrame:
     return wide.selectExpr("stat_date", f"stack(3, {rows}) AS (metric, max_value, min_value, avg_value, median_value)")
 
 
+def report_place() -> Column:
+    return F.when(F.col("metric") == "time", 1).when(F.col("metric") == "distance", 2).when(F.col("metric") == "count", 3).otherwise(99)
+
+
 def in_report_order(stats: DataFrame) -> DataFrame:
-    place = F.when(F.col("metric") == "time", 1).when(F.col("metric") == "distance", 2).when(F.col("metric") == "count", 3).otherwise(99)
-    return stats.orderBy("stat_date", place)
+    """Sorted by date, then time, distance, count."""
+    return stats.orderBy("stat_date", report_place())
 
 
 def numeric(rows: DataFrame, column: str, skip_zero: bool = True) -> tuple:
@@ -37,15 +46,46 @@ def numeric(rows: DataFrame, column: str, skip_zero: bool = True) -> tuple:
     return read.where(F.col("v").isNotNull() & ~zero).select("v"), counts
 
 
-def nearest_rank(p: float, column: str = "v"):
-    """The element at ceil(p n) of the sorted values."""
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})")
+def nth_smallest(values: DataFrame, rank: int, total: int, column: str = "v", most: int = SORTED):
+    """The value at a 1-based rank among `total` values. Each pass brackets it between two approximate quantiles and counts exactly
+    what lies below, on and between them, until what is between has `most` rows at most. No task ever sorts more."""
+    v, low, high, below, inside = F.col(column), None, None, 0, total
+    rows = values
+    while inside > most:
+        share, slack = (rank - below) / inside, 2.0 / QUANTILE_ACCURACY
+        low, high = rows.agg(F.percentile_approx(v, [max(0.0, share - slack), min(1.0, share + slack)], QUANTILE_ACCURACY)).first()[0]
+        rows = values.where((v > low) & (v < high))
+        under, on, inside = values.agg(F.count_if(v < low), F.count_if(v == low), F.count_if((v > low) & (v < high))).first()
+        below = under + on
+        if rank <= below:
+            return low
+        if rank > below + inside:
+            return high
+    return rows.orderBy(v).select(v).collect()[rank - below - 1][0]  # `most` rows at most
+
+
+def nearest_rank(values: DataFrame, p: float, column: str = "v"):
+    """The element at ceil(p n) of the sorted values; None without values."""
+    n = values.count()
+    return nth_smallest(values, max(1, math.ceil(p * n)), n, column) if n else None
+
+
+def median(values: DataFrame, column: str = "v"):
+    """The middle element, or the mean of the two; None without values."""
+    n = values.count()
+    return sum(nth_smallest(values, k, n, column) for k in ((n + 1) // 2, n // 2 + 1)) / 2 if n else None
 
 
 def trim(values: DataFrame, share: float = TRIM) -> DataFrame:
-    """Values up to the nearest-rank percentile. The bound is one row, broadcast."""
-    bound = values.agg(nearest_rank(share).alias("_bound"))
-    return values.join(F.broadcast(bound), F.col("v") <= F.col("_bound")).select("v")
+    """Values up to the nearest-rank percentile."""
+    return trimmed(values, share)[0]
+
+
+def trimmed(values: DataFrame, share: float = TRIM) -> tuple:
+    """Values up to the nearest-rank percentile, and one row with that bound (upper_bound) and the number beyond it (skipped_high)."""
+    bound = F.lit(nearest_rank(values, share)).cast("double")
+    above = values.agg(F.count_if(F.col("v") > bound).alias("skipped_high")).withColumn("upper_bound", bound)
+    return values.where(F.col("v") <= bound).select("v"), above
 
 
 def histogram(values: DataFrame, bins: int = BINS) -> DataFrame:
@@ -63,8 +103,17 @@ def histogram(values: DataFrame, bins: int = BINS) -> DataFrame:
 
 
 def summary(values: DataFrame, counts: DataFrame) -> DataFrame:
-    """metric, value: count, min, max, mean, median (midpoint of two), skipped_zero, skipped_invalid."""
-    one = values.agg(F.count("v").alias("count"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.median("v").alias("median"))
-    names = ("count", "min", "max", "mean", "median", "skipped_zero", "skipped_invalid")
-    rows = ", ".join(f"'{n}', double(`{n}`)" for n in names)
-    return one.crossJoin(F.broadcast(counts)).selectExpr(f"stack({len(names)}, {rows}) AS (metric, value)")  # one row each
+    """metric, value, in the order of the report: count, min, max, mean, median (midpoint of two; null without values), the skipped_*
+    of counts (one row), and without values its upper_bound, if it has one."""
+    one = values.agg(F.count("v").alias("count"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"))
+    one = one.withColumn("median", F.lit(median(values)).cast("double"))
+    names = ["count", "min", "max", "mean", "median", *[c for c in ("skipped_invalid", "skipped_zero", "skipped_high", "upper_bound") if c in counts.columns]]
+    rows = ", ".join(f"{k}, '{n}', double(`{n}`)" for k, n in enumerate(names))
+    wide = one.crossJoin(F.broadcast(counts))  # one row each
+    shown = wide.selectExpr("`count` AS _n", f"stack({len(names)}, {rows}) AS (_k, metric, value)")
+    return shown.where("_n = 0 OR metric <> 'upper_bound'").orderBy("_k").select("metric", "value")
+
+
+def running_mean(rows: DataFrame, value: str, by: tuple, order: tuple, name: str = "r_avg") -> DataFrame:
+    """The mean of a value over the rows of its group up to each row."""
+    return rows.withColumn(name, F.avg(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))

@@ -1,10 +1,12 @@
-"""Trajectory operators on points (uid, stime, cid, ...): each takes and returns DataFrames and runs no action."""
+"""Trajectory operators on points (uid, stime, cid, ...): each takes and returns DataFrames, and none but the global rank runs
+an action."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geo import euclid, haversine
+from ..sources.shared import stored
 
 
 def dedupe_latest(dim: DataFrame, key: str, order: str, tie: tuple = ()) -> DataFrame:
@@ -115,19 +117,18 @@ def trajectory_summary(features: DataFrame) -> DataFrame:
     return features.groupBy("trajectory_id").agg(F.sum("time_diff").alias("time_diff"), F.sum("space_diff").alias("space_diff"), F.count(F.lit(1)).alias("traj_count"))
 
 
-def global_rank(rows: DataFrame, by: str, tie: str, name: str, ranges: int = 256) -> DataFrame:
-    """1-based rank by descending `by`, then `tie`, without one sort of all rows in one task: rows are ranked within ranges of
-    `by` between approximate quantiles, and a range's first rank is the number of rows in the ranges before it."""
-    cuts = rows.agg(F.percentile_approx(by, F.lit([k / ranges for k in range(1, ranges)])).alias("_cuts"))
-    placed = rows.crossJoin(F.broadcast(cuts)).withColumn(  # a single row
-        "_range", F.aggregate(F.coalesce("_cuts", F.array().cast("array<double>")), F.lit(0), lambda n, c: n + F.when(F.col(by) < c, 1).otherwise(0))
-    ).drop("_cuts")
-    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # at most `ranges` rows
+def global_rank(rows: DataFrame, by: str, tie: str, name: str, ranges: int | None = None) -> DataFrame:
+    """1-based rank by descending `by`, then `tie`, without one sort of all rows in one task: the rows are sorted in ranges of both
+    (so equal values of `by` part, too) and stored with their place, and a range's first rank is the number of rows before it."""
+    key = (F.col(by).desc(), F.col(tie))
+    dealt = rows.repartitionByRange(ranges, *key) if ranges else rows.repartitionByRange(*key)
+    in_order = dealt.sortWithinPartitions(*key).withColumn("_at", F.monotonically_increasing_id())
+    placed = stored(in_order.withColumn("_range", F.shiftright("_at", 33)), "ranked")
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # a row a range
     before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy("_range").orderBy(F.col(by).desc(), tie)
-    out = placed.withColumn("_at", F.row_number().over(within)).join(F.broadcast(first), "_range")
-    return out.withColumn(name, (F.col("_first") + F.col("_at")).cast("long")).drop("_range", "_first", "_at")
+    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(first), "_range").withColumn(name, (F.col("_first") + within + 1).cast("long")).drop("_range", "_first", "_at")
 
 
 def trajectory_rank(points: DataFrame, key: str = "trajectory_id", order: str = "move_vp_id") -> DataFrame:

@@ -478,8 +478,12 @@ def rollout_rates(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import extra  # noqa: F401  adds its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import extra  # noqa: F401
+
     return dict(_SQL)
