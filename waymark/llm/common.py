@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..sources.shared import removed, shared_folder, stored  # noqa: F401  part of what the operators share
 
 #: Words are runs of anything but these six characters: space, tab, LF, VT, FF, CR.
 SPACES = " \t\n\x0b\x0c\r"
 #: Rows of eight-byte ids that a broadcast may hold (about 64 MB as a hashed relation); more are shuffled.
 BROADCAST_IDS = 1_000_000
-_FOLDERS: set = set()
 
 
 def ascii_lower(c: Column) -> Column:
@@ -46,49 +45,6 @@ def lean(run):
     return each
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """This session's own folder in spark.checkpoint.dir, which driver and executors share; it goes when the driver's JVM ends.
-
-    Where the setting is missing, a session on one machine gets a folder of its own; on a cluster that is an error."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext._jsc.sc().isLocal():
-            raise ValueError("spark.checkpoint.dir is not set: the text operators need a folder that driver and executors share")
-        top = tempfile.mkdtemp(prefix="waymark-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    folder = f"{top.rstrip('/')}/waymark-{spark.sparkContext.applicationId}"
-    if folder not in _FOLDERS:
-        system, path = _hadoop(spark, folder)
-        system.mkdirs(path)
-        system.deleteOnExit(path)
-        _FOLDERS.add(folder)
-    return folder
-
-
-def _hadoop(spark: SparkSession, path: str) -> tuple:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back: a cut in the lineage that outlives lost executors.
-
-    The files stay for the session, so any frame derived from the result can be read at any time."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._waymark_path = path
-    return out
-
-
-def removed(*tables: DataFrame) -> None:
-    """Ends stored tables that nothing reads any more."""
-    for t in tables:
-        system, path = _hadoop(t.sparkSession, t._waymark_path)
-        system.delete(path, True)
-
-
 @contextmanager
 def working():
     """A stored() whose tables end with the block: for what an operator needs on its way to its own result."""
