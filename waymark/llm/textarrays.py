@@ -126,6 +126,15 @@ def shingle_hashes(words: np.ndarray, at: np.ndarray, size: int = 5):
     return out, out_at
 
 
+def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
+    """The hash of each run of `length` words, which is that of a text of these words if they are fewer than a shingle has."""
+    m = max(0, len(words) - length + 1)
+    total = np.full(m, np.uint64(length))
+    for k in range(length):
+        total += words[k : k + m] * np.uint64(_MULT[k])
+    return mix(total)
+
+
 def ngram_counts(buf: np.ndarray, offs: np.ndarray, dims: int, rows: slice | None = None) -> np.ndarray:
     """A float32 matrix: for each text its counts of byte 2- and 3-grams, lower-cased, hashed to `dims` (a power of two)."""
     n_docs = len(offs) - 1
