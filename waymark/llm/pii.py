@@ -3,7 +3,9 @@ local parsers expand each anchor to the left and right and validate what they fi
 
 Kinds: email, ip, card, phone (in this order), then url, account and secret, which cues open. Spans are in code points, the
 end exclusive; within a kind they don't overlap and the leftmost wins. Null text counts as empty. Repeated rows each get a
-row. Columns besides doc_id and text are kept by `redact` and ignored by `find`."""
+row; an empty table gets none. Texts of any length are searched whole, in time that grows with their length. Of anchors at one
+place each kind looks for itself, so spans of different kinds may overlap; `redact` masks such spans as one. Columns besides
+doc_id and text are kept by `redact` and ignored by `find`."""
 
 from __future__ import annotations
 
@@ -31,9 +33,10 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_URL = re.compile(r"(?:https?://|ftp://|www\.)[^\s<>\"'|]+", re.I)
-_ACCOUNT = re.compile(r"(?:iban|account|acct|passport|ssn)\b[ \t]*(?:no\.?|number|id|nr\.?)?[ \t]*[:=#]?[ \t]*([A-Z]{0,2}[0-9][A-Z0-9-]{4,33})\b", re.I)
-_SECRET = re.compile(r"(?:token|api[_-]?key|secret|password|passwd)[\"']?[ \t]*[:=][ \t]*[\"']?([A-Za-z0-9_\-+/=.]{12,})", re.I)
+# What cues open is looked at with A-Z in lower case.
+_URL = re.compile(r"(?:https?://|ftp://|www\.)[^\x09-\x0D\x20\u00a0\u3000<>\"'|]+")
+_ACCOUNT = re.compile(r"(?:iban|account|acct|passport|ssn)\b[ \t]*(?:no\.?|number|id|nr\.?)?[ \t]*[:=#]?[ \t]*([a-z]{0,2}[0-9][a-z0-9-]{4,33})\b", re.A)
+_SECRET = re.compile(r"(?:token|api[_-]?key|secret|password|passwd)[\"']?[ \t]*[:=][ \t]*[\"']?([a-z0-9_\-+/=.]{12,})")
 
 
 def luhn(digits: str) -> bool:
@@ -44,10 +47,15 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def anchors(automaton, text: str) -> dict:
-    """Start places of each parser's anchors, in order."""
+def lowered(text: str) -> str:
+    """A-Z in lower case, all else as it is, so places stay."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
+def anchors(automaton, low: str) -> dict:
+    """Start places of each parser's anchors in a lowered text, in order."""
     found: dict = {}
-    for end, (parser, length) in automaton.iter(text.replace("\u0130", "\0").lower()):  # lower() lengthens no other character
+    for end, (parser, length) in automaton.iter(low):
         found.setdefault(parser, []).append(end - length + 1)
     return found
 
@@ -92,7 +100,8 @@ def _cue_spans(text: str, starts: list, pattern, group: int, out: list) -> None:
 
 def spans_of(automaton, text: str) -> dict:
     """Spans by kind."""
-    found, out = anchors(automaton, text), {k: [] for k in KINDS}
+    low = lowered(text)
+    found, out = anchors(automaton, low), {k: [] for k in KINDS}
     if "at" in found:
         _email_spans(text, found["at"], out["email"])
     if "digit" in found:
@@ -105,7 +114,7 @@ def spans_of(automaton, text: str) -> dict:
                 out["phone"].append(m.span())
     for parser, pattern, group in (("url", _URL, 0), ("account", _ACCOUNT, 1), ("secret", _SECRET, 1)):
         if parser in found:
-            _cue_spans(text, found[parser], pattern, group, out[parser])
+            _cue_spans(low, found[parser], pattern, group, out[parser])
     return out
 
 
