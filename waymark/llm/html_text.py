@@ -10,7 +10,9 @@ are taken; a surge is where the sum rises over the threshold, a dive where it fa
 text is the page's, whether it is an element or not; of its spans those count whose highest sum is PART of the highest, as do such spans of
 the elements around it, and regions of half its weight. What lies between a region's spans is kept, and the heading and text lines before.
 
-Null or empty html gives an empty text. Unclosed and cut-off tags are tolerated. Repeated rows each get a row."""
+Null or empty html gives an empty text. Unclosed and cut-off tags are tolerated. Repeated rows each get a row; an empty table gets
+none. Very long pages are read whole. Of regions of equal weight the last one is the page's. Columns besides page_id, url and html are
+ignored."""
 
 from __future__ import annotations
 
@@ -20,6 +22,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import lean
+
 WINDOW = 3
 #: The least sum of a surge, in characters; in a region of less, half of its highest sum.
 SURGE = 60
@@ -38,6 +42,9 @@ BLOCKS = frozenset(
 )
 #: Elements that are furniture wherever they stand.
 FURNITURE = frozenset("nav footer aside form button dialog menu fieldset label input datalist".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Elements that hold others, of which role words tell what they are within an article.
+BOXES = frozenset("div section ul ol dl table details header figure center fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ROLE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|notification|alert|popup|pop-up|modal|overlay|"
@@ -50,13 +57,16 @@ _ATTR = re.compile(r"(?:^|\s)(class|id|role|aria-label|hidden|aria-hidden|style)
 
 
 def _is_furniture(tag: str, attrs: str, in_main: bool) -> bool:
+    """By element, or by role words of its attributes. Headings are never furniture by such words, and within an article or main
+    element only boxes are: a paragraph of the class "notice" or a heading of the class "article-header" is text."""
     if tag in FURNITURE or tag == "header" and not in_main:
         return True
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
+    roles = tag not in HEADINGS and not (in_main and tag not in BOXES)
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id", "role") and _ROLE.search(value):
+        if roles and name in ("class", "id", "role") and _ROLE.search(value):
             return True
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
@@ -228,4 +238,4 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(h.as_py() or "") for h in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")
