@@ -3,7 +3,7 @@
 Each match of the pattern is encoded by itself. A chunk of texts is cut into pieces; pieces not met before in the task are put
 into length buckets, each a padded numpy matrix of token ids. In each round every row looks up all its adjacent pairs in an
 open-addressed hash table, merges its leftmost pair of the least rank, and is compacted; finished rows leave the matrix.
-Null text counts as empty; empty text has no tokens. Very long pieces (over LONG bytes) are merged one by one with a heap to
+Null text counts as empty; empty text has no tokens; an empty table gets no rows. Of pairs of equal rank the leftmost is merged. Very long pieces (over LONG bytes) are merged one by one with a heap to
 the same rule, so that the matrices stay small. Repeated rows each get a row. Columns besides doc_id and text are ignored."""
 
 from __future__ import annotations
@@ -34,7 +34,9 @@ class Vocabulary:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.single = np.array([self.ranks.get(bytes([b]), 0) for b in range(256)], dtype=np.int32)
+        if lost := [b for b in range(256) if bytes([b]) not in self.ranks]:
+            raise ValueError(f"the vocabulary has no token for the bytes {lost}")
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         get, keys, values = self.ranks.get, [], []
         for token, rank in self.ranks.items():
             for k in range(1, len(token)):
@@ -119,7 +121,7 @@ class Vocabulary:
 
     def merge_long(self, piece: bytes) -> list:
         """The same rule for one long piece: a heap of (rank, place) over linked places."""
-        ids, n = [self.ranks.get(bytes([b]), 0) for b in piece], len(piece)
+        ids, n = [self.ranks[bytes([b])] for b in piece], len(piece)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         tokens, ranks = self.tokens, self.ranks
         rank = lambda i: ranks.get(tokens[ids[i]] + tokens[ids[after[i]]]) if after[i] < n else None
