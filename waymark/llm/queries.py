@@ -152,5 +152,40 @@ SELECT e.doc_id, e.digest, k.licence, coalesce(h.found, '') AS line_licences FRO
 """
 
 
+def _spans_sql(kind: str, text: str, pattern: str, good: str = "TRUE", cut: str = "") -> str:
+    """rid and the list of spans (a, m) of a pattern's leftmost matches, in the other engine's own words: each match is marked by
+    two private characters, and the pieces between the marks are measured. pattern: (what goes before)(the span)."""
+    own = cut or "split_part(q[k + 1], y, 1)"
+    return rf"""SELECT rid, list_filter(list_transform(range(1, len(q)), lambda k: {{'a': length(q[1]) + CAST(coalesce(list_sum(list_transform(q[2:k], lambda z: length(z) - 1)), 0) AS BIGINT), 'm': {own}}}),
+  lambda v: {good}) AS f, '{kind}' AS kind FROM (SELECT rid, y, string_split(regexp_replace({text}, '{pattern}', '\1' || x || '\2' || y, 'g'), x) AS q FROM d)"""
+
+
+def _pii_sql() -> str:
+    digits = "regexp_replace(v.m, '[^0-9]', '', 'g')"
+    n = f"length({digits})"
+    digit = f"CAST({digits}[i] AS INTEGER)"
+    luhn = f"list_sum(list_transform(range(1, {n} + 1), lambda i: CASE WHEN ({n} - i) % 2 = 0 THEN {digit} WHEN {digit} > 4 THEN {digit} * 2 - 9 ELSE {digit} * 2 END)) % 10 = 0"
+    kinds = [
+        _spans_sql("email", "t", r"()([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"),
+        _spans_sql("ip", "t", r"()([0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+))", "len(list_filter(string_split(v.m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR CAST(right(p, 9) AS INTEGER) > 255)) = 0"),
+        _spans_sql("card", "t", r"()([0-9](?:[\x20-]?[0-9])+)", f"{n} BETWEEN 13 AND 19 AND {luhn}"),
+        _spans_sql("phone", "t", r"()(\+[0-9][\x20().0-9-]+[0-9])", f"{n} BETWEEN 9 AND 15"),
+        _spans_sql("url", "w", r"""()((?:https?://|ftp://|www\.)[^\x09-\x0D\x20\x{00a0}\x{3000}<>"''|]+)""", cut=r"regexp_replace(split_part(q[k + 1], y, 1), '[.,;:!?)\]}]+$', '')"),
+        _spans_sql("account", "w", r"((?:iban|account|acct|passport|ssn)\b[ \t]*(?:no\.?|number|id|nr\.?)?[ \t]*[:=#]?[ \t]*)([a-z]{0,2}[0-9][a-z0-9-]{4,33})\b"),
+        _spans_sql("secret", "w", r"""((?:token|api[_-]?key|secret|password|passwd)["'']?[ \t]*[:=][ \t]*["'']?)([a-z0-9_\-+/=.]{12,})"""),
+    ]
+    counts = ", ".join(f"CAST(coalesce(sum(len(f)) FILTER (WHERE kind = '{k}'), 0) AS BIGINT) AS n_{k}" for k in pii.KINDS)
+    order = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(pii.KINDS)) + " END"
+    each = "array_to_string(list_transform(f, lambda v: kind || ':' || CAST(v.a AS VARCHAR) || ':' || CAST(v.a + length(v.m) AS VARCHAR)), ',')"
+    joined = lambda most: f"coalesce(string_agg({each}, ',' ORDER BY {order}) FILTER (WHERE len(f) > 0 AND {order} < {most}), '')"
+    return f"""
+WITH s AS (SELECT row_number() OVER () AS rid, doc_id, chr(57344) AS x, chr(57345) AS y, coalesce(text, '') AS t0 FROM documents),
+d AS (SELECT rid, doc_id, x, y, translate(t0, x || y, '??') AS t, translate(t0, x || y || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '??abcdefghijklmnopqrstuvwxyz') AS w FROM s),
+k AS ({" UNION ALL ".join(kinds)}),
+g AS (SELECT rid, {counts}, sha256({joined(len(pii.BASE))}) AS base_sha256, {joined(len(pii.KINDS))} AS spans FROM k GROUP BY rid)
+SELECT doc_id, {", ".join(f"n_{k}" for k in pii.KINDS)}, base_sha256, spans FROM d JOIN g USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": _JOIN_SQL, "op5_license_scan": _license_sql(), "op9_quality_rules": _RULES_SQL}
+    return {"op6_pii": _pii_sql(), "op1_ngram_jaccard_join": _JOIN_SQL, "op5_license_scan": _license_sql(), "op9_quality_rules": _RULES_SQL}
