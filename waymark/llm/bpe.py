@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import lean
+from .common import in_batches
 
 #: Widths of the matrices; pieces longer than the last are merged with a heap.
 BUCKETS = (4, 8, 12, 16, 24, 32, 48, 64, 128, 256)
@@ -207,7 +207,7 @@ def token_rows(docs: DataFrame, vocabulary: bytes, pattern: str, digests_only: b
                 yield some(ids.slice(first, len(run_)), run_)
 
     schema = "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_batches, run, schema)
 
 
 def decode_rows(rows: DataFrame, vocabulary: bytes) -> DataFrame:
@@ -220,4 +220,4 @@ def decode_rows(rows: DataFrame, vocabulary: bytes) -> DataFrame:
             texts = [None if x is None else vocab.decode(x).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(lean(run), "doc_id long, text string")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").transform(in_batches, run, "doc_id long, text string")

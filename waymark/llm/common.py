@@ -13,6 +13,8 @@ from ..sources.shared import removed, shared_folder, stored  # noqa: F401  part
 SPACES = " \t\n\x0b\x0c\r"
 #: Rows of eight-byte ids that a broadcast may hold (about 64 MB as a hashed relation); more are shuffled.
 BROADCAST_IDS = 1_000_000
+#: Rows of one Arrow batch, and the setting of Spark with its default.
+BATCH_ROWS, _BATCH, _DEFAULT = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
 def ascii_lower(c: Column) -> Column:
@@ -31,8 +33,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def lean(run):
-    """run, for mapInArrow, with Arrow's freed memory given back after each batch: a worker lives on, idle or in other stages."""
+def in_batches(rows: DataFrame, run, schema) -> DataFrame:
+    """rows.mapInArrow(run, schema) in small batches, with Arrow's freed memory given back after each: a worker lives on, idle or in
+    other stages. A session that has Spark's default of rows a batch gets BATCH_ROWS, as rows with whole texts are wide."""
+    conf = rows.sparkSession.conf
+    if conf.get(_BATCH, _DEFAULT) == _DEFAULT:
+        conf.set(_BATCH, str(BATCH_ROWS))
 
     def each(batches):
         give_back = pa.default_memory_pool().release_unused
@@ -42,7 +48,7 @@ def lean(run):
             give_back()
         give_back()
 
-    return each
+    return rows.mapInArrow(each, schema)
 
 
 @contextmanager

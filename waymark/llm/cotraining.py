@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textarrays as ta
-from .common import few, lean, stored, working
+from .common import few, in_batches, stored, working
 
 DIMS, META, LABELLED, ROUNDS, GIVE = 2048, 256, 3000, 3, 0.05
 #: Groups of pseudo-labelled documents: steps of a quarter in the logit beyond 1, and kinds of length in each.
@@ -92,7 +92,7 @@ def features(docs: DataFrame) -> DataFrame:
                     own = [b.column(c).slice(k.start, k.stop - k.start) for c in (0, 5)]
                     yield pa.RecordBatch.from_arrays([*own, *lists], ["label", "key", "t", "m"])
 
-    return docs.mapInArrow(lean(run), "label int, key long, t array<float>, m array<float>")
+    return docs.transform(in_batches, run, "label int, key long, t array<float>, m array<float>")
 
 
 def _views(docs: DataFrame):
@@ -166,7 +166,7 @@ def gathered(rows: DataFrame, models: dict) -> dict:
         return pa.table({"view": table.column("view")[:1], "group": table.column("group")[:1], "sums": pa.array([total], pa.list_(pa.float64()))})
 
     schema = "view string, group int, sums array<double>"
-    got = rows.mapInArrow(lean(run), schema).groupBy("view", "group").applyInArrow(add, schema).collect()  # a row a group
+    got = rows.transform(in_batches, run, schema).groupBy("view", "group").applyInArrow(add, schema).collect()  # a row a group
     out: dict = {"all": 0.0, "t": [], "m": []}
     for r in sorted(got, key=lambda r: (r["view"], r["group"])):
         if r["view"] == "all":
@@ -258,4 +258,4 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, out), pa.array(out[2] >= threshold)], ["doc_id", "text_score", "meta_score", "quality", "kept"])
 
     rows = docs.select(*_inputs(docs, F.col("doc_id").cast("long").alias("doc_id")))
-    return rows.mapInArrow(run, "doc_id long, text_score double, meta_score double, quality double, kept boolean")
+    return rows.transform(in_batches, run, "doc_id long, text_score double, meta_score double, quality double, kept boolean")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textarrays as ta
-from .common import lean
+from .common import in_batches
 
 SIMILARITY, RADIUS, BLOCK_BYTES = 0.8, 23, 32 << 20
 #: Windows fingerprinted at once, and words that they may span.
@@ -192,6 +192,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names)
 
-        rows_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), schema)
+        rows_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_batches, run, schema)
         out = rows_of if out is None else out.unionByName(rows_of)
     return out

@@ -22,7 +22,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import lean
+from .common import in_batches
 
 WINDOW = 3
 #: The least sum of a surge, in characters; in a region of less, half of its highest sum.
@@ -238,4 +238,4 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(h.as_py() or "") for h in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").transform(in_batches, run, "page_id long, url string, text string, n_chars long")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import textarrays as ta
-from .common import BROADCAST_IDS, lean, stored, working
+from .common import BROADCAST_IDS, in_batches, stored, working
 from .components import components
 
 #: Documents that one task compares with each other at most (a part of a region with its pivot).
@@ -109,7 +109,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
         yield from _sets(batches, emit)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, n long, h long, cells array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_batches, run, "doc_id long, n long, h long, cells array<long>")
 
 
 def _shared_cells(batches):
@@ -140,7 +140,7 @@ def _counted(rows: DataFrame, n_rows: int) -> DataFrame:
     found = rows.sample(rate, 7).groupBy("s").count().where(F.col("count") > F.lit(max(1000.0, rate * n_rows / 2000)))
     hot = [r["s"] for r in found.collect()]
     cold = rows if not hot else rows.where(~F.col("s").isin(hot))
-    shared = cold.select("s", "h").repartition(parts, "s").mapInArrow(lean(_shared_cells), "s long, h long, df long")
+    shared = cold.select("s", "h").repartition(parts, "s").transform(in_batches, _shared_cells, "s long, h long, df long")
     if hot:
         warm = rows.where(F.col("s").isin(hot)).distinct()
         crowd = warm.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
@@ -332,7 +332,7 @@ def _placed_sets(docs: DataFrame, placed: DataFrame, classes: DataFrame, fields:
                         yield pa.RecordBatch.from_arrays([*cols, _lists(sets)], [*names, "set"])
                         rows, sets, held = [], [], 0
 
-    return rows.select("doc_id", "text", "places").mapInArrow(lean(run), f"{fields}, set array<long>")
+    return rows.select("doc_id", "text", "places").transform(in_batches, run, f"{fields}, set array<long>")
 
 
 def _pivot_links(docs: DataFrame, regions: DataFrame, classes: DataFrame, region: int, store) -> DataFrame:
@@ -345,7 +345,7 @@ def _pivot_links(docs: DataFrame, regions: DataFrame, classes: DataFrame, region
     with working() as brief:
         placed = _placed_sets(docs, members.unionByName(own), classes, "p long, part int, parts int, m long", brief)
         dealt = placed.repartition(n, "p", "part").sortWithinPartitions("p", "part")
-        return store(dealt.mapInArrow(lean(_first_join), _LINKS), "links")
+        return store(dealt.transform(in_batches, _first_join, _LINKS), "links")
 
 
 def _unresolved(found: DataFrame, seen: DataFrame, store) -> DataFrame:
@@ -376,7 +376,7 @@ def _block_links(docs: DataFrame, left: DataFrame, classes: DataFrame, region: i
     sides = sides.unionByName(rows.join(pairs, own("cb", "cols", "j")).select(*fields(False)))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocked = _placed_sets(docs, sides, classes, "p long, block long, m long, d double, o boolean, outer boolean", brief)
-    joined = blocked.repartition(n, "p", "block").sortWithinPartitions("p", "block").mapInArrow(lean(_second_join), _LINKS)
+    joined = blocked.repartition(n, "p", "block").sortWithinPartitions("p", "block").transform(in_batches, _second_join, _LINKS)
     return store(joined.select("a", "b"), "links")
 
 

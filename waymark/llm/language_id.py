@@ -5,7 +5,8 @@ spherical k-means; a text gets the language of the centroid with the greatest co
 the learned texts of that language is marked `rejected`, and callers may read that as no language.
 
 Learned rows are a bounded sample: SAMPLE rows at most, shared out evenly over the languages, those of smallest hash of doc_id; a
-repeated doc_id gives one row, that of the least text.
+repeated doc_id gives one row, that of the least text. Document frequencies are counted over all learnable rows. Ties of hashes go
+by doc_id, ties of cosines to the first language. Very long texts are counted whole.
 Prediction covers all rows. Null text, or text without a letter, is `und` with score 0. Without any row to learn from all
 rows are `und`. Repeated rows each get a row. Other columns than doc_id, text (and lang, to learn) are ignored."""
 
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import textarrays as ta
+from .common import in_batches
 
 DIMS, CENTROIDS, SAMPLE, ROUNDS = 4096, 4, 1600, 12
 RUN = 256
@@ -29,7 +31,7 @@ def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def counted(docs: DataFrame, label: str) -> DataFrame:
-    """label, counts of hashed n-grams of each row: what a bounded sample sends to the driver, whatever its texts' length."""
+    """label, key, counts of hashed n-grams of each row: what a bounded sample sends to the driver, whatever its texts' length."""
 
     def run(batches):
         for b in batches:
@@ -37,9 +39,27 @@ def counted(docs: DataFrame, label: str) -> DataFrame:
                 for i, part, at in ta.small_runs(buf, offs, RUN):
                     m = ta.ngram_counts(*ta.letters_only(part, at), DIMS)
                     flat = pa.FixedSizeListArray.from_arrays(pa.array(m.reshape(-1)), DIMS).cast(pa.list_(pa.float32()))
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first + i, len(at) - 1), flat], ["label", "counts"])
+                    own = [b.column(c).slice(first + i, len(at) - 1) for c in (0, 2)]
+                    yield pa.RecordBatch.from_arrays([*own, flat], ["label", "key", "counts"])
 
-    return docs.select(F.col(label).cast("string").alias("label"), "text").mapInArrow(run, "label string, counts array<float>")
+    return docs.select(F.col(label).cast("string").alias("label"), "text", "_key").transform(in_batches, run, "label string, key long, counts array<float>")
+
+
+def frequencies(docs: DataFrame) -> tuple:
+    """(rows, rows with each hashed n-gram) over all rows of docs: each task adds up its own, so a task sends DIMS numbers."""
+
+    def run(batches):
+        total, seen = 0, np.zeros(DIMS, dtype=np.int64)
+        for b in batches:
+            for _, buf, offs in ta.text_chunks(b.column(0)):
+                for _, part, at in ta.small_runs(buf, offs, RUN):
+                    seen += (ta.ngram_counts(*ta.letters_only(part, at), DIMS) > 0).sum(axis=0)
+                    total += len(at) - 1
+        yield pa.RecordBatch.from_arrays([pa.array(range(-1, DIMS), pa.int32()), pa.array([total, *seen.tolist()], pa.int64())], ["i", "n"])
+
+    got = docs.select("text").transform(in_batches, run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
+    n = {r["i"]: r["n"] for r in got}
+    return n.get(-1, 0), np.array([n.get(i, 0) for i in range(DIMS)])
 
 
 def k_means(v: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -61,12 +81,13 @@ def k_means(v: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
 def fit(docs: DataFrame, learn: Column, lang: str = "lang") -> dict:
     """A model from the rows of docs for which `learn` holds and the language is known."""
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col("text").rlike("\\p{L}")).select("doc_id", "text", F.col(lang).alias("_lang"))
-    sizes = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(SAMPLE).collect()
+    # documents, not rows: one repeated doc_id may hold many (the estimate is within a few hundredths)
+    sizes = rows.groupBy("_lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("count")).orderBy(F.desc("count"), "_lang").limit(SAMPLE).collect()
     if not sizes:
         return {"langs": []}
     each = max(1, SAMPLE // len(sizes))
-    # Of a language's n rows, those of the lowest (2 each + 50) / n of all hashes: enough, and few, so no task ranks many.
-    below = [(r["_lang"], min(2**63 - 1, -(2**63) + 2**64 * (2 * each + 50) // r["count"])) for r in sizes]
+    # Of a language's n documents, those of the lowest (2 each + 100) / n of all hashes: enough, and few, so no task ranks many.
+    below = [(r["_lang"], min(2**63 - 1, -(2**63) + 2**64 * (2 * each + 100) // max(1, r["count"]))) for r in sizes]
     low = F.broadcast(docs.sparkSession.createDataFrame(below, "_l string, _below long"))  # SAMPLE rows at most
     key = F.xxhash64(F.col("doc_id"))
     few = rows.select("doc_id", "_lang").join(low, F.col("_lang") == F.col("_l")).where(key <= F.col("_below")).distinct()
@@ -75,12 +96,13 @@ def fit(docs: DataFrame, learn: Column, lang: str = "lang") -> dict:
     chosen = F.broadcast(ids.select(F.col("doc_id").alias("_id"), F.col("_lang").alias("_l")))  # SAMPLE rows at most
     sample = rows.join(chosen, (F.col("doc_id") == F.col("_id")) & (F.col("_lang") == F.col("_l")))
     sample = sample.groupBy("doc_id", "_lang").agg(F.min("text").alias("text"))  # a repeated doc_id counts once
-    got = counted(sample, "_lang").toArrow().combine_chunks()
+    got = counted(sample.withColumn("_key", key), "_lang").toArrow().combine_chunks()
     labels = np.array(got.column("label").to_pylist())
     counts = got.column("counts").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, DIMS).astype(np.float32)
-    order = np.lexsort((counts.sum(axis=1), labels))
+    order = np.lexsort((got.column("key").to_numpy(), labels))  # the same order, however the rows arrive
     labels, counts = labels[order], counts[order]
-    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
+    n_rows, with_gram = frequencies(rows)
+    idf = (np.log((1 + n_rows) / (1 + with_gram)) + 1).astype(np.float32)
     v = vectors(counts, idf)
     centroids, owner, least = [], [], []
     for name in sorted(set(labels)):
@@ -119,7 +141,7 @@ def predict(docs: DataFrame, model: dict, keep_column: str | None = None) -> Dat
     rest = [F.col(keep_column)] if keep_column else []
     kind = f"{keep_column} {docs.schema[keep_column].dataType.simpleString()}, " if keep_column else ""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", letter, *rest)
-    return rows.mapInArrow(run, f"doc_id long, {kind}lang_pred string, score double, rejected boolean")
+    return rows.transform(in_batches, run, f"doc_id long, {kind}lang_pred string, score double, rejected boolean")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -15,7 +15,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import lean
+from .common import in_batches
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account", "secret")
@@ -145,7 +145,7 @@ def find(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *counts, pa.array(digests, pa.string()), pa.array([joined(r) or empty for r in rows], pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
     schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_batches, run, schema)
 
 
 def masked(text: str, spans: dict) -> str:
@@ -177,4 +177,4 @@ def redact(docs: DataFrame) -> DataFrame:
                 cols[i] = pa.array([o if t is None else len(t) for t, o in zip(texts, old)], b.column(i).type)
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.mapInArrow(lean(run), kinds)
+    return docs.transform(in_batches, run, kinds)
