@@ -219,3 +219,16 @@ def test_runs_hash_like_short_texts():
         for k in range(5 - n):
             alone, _ = ta.shingle_hashes(words[k : k + n], np.array([0, n]))
             assert alone[0] == ta.run_hashes(words, n)[k]
+
+
+def test_many_known_digests_are_joined(spark, monkeypatch):
+    from waymark.llm import license_scan
+
+    texts = ["Released under the MIT License.", "Title\nLicensed under CC BY-NC 4.0\nLicensed under CC BY-NC 4.0!\nReleased under the MIT licence\nbody", "none", None, "", "Title\nLicensed under CC BY-NC 4.0"]
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (None, texts[1])], "doc_id long, text string")
+    plain = lambda df: sorted((repr(r.doc_id), r.digest, r.licence, tuple(r.line_licences)) for r in df.collect())
+    few = plain(license_scan.scan(docs))
+    none = license_scan.scan(docs, license_scan.known_digests(spark).where("false"))
+    assert all(r.licence is None and r.line_licences == [] for r in none.collect())
+    monkeypatch.setattr(license_scan, "LISTED", 3)
+    assert plain(license_scan.scan(docs)) == few and ("1", ("CC-BY-NC-4.0", "MIT")) in {(r[0], r[3]) for r in few}

@@ -4,7 +4,7 @@ Normalising lower-cases, drops copyright lines, makes equivalent spellings one (
 slash), and leaves letters and digits only, with one space between words. Whole texts and their single lines are digested:
 a line holds a whole short notice. Copyright lines are told by their first word, so a licence is known in
 the wrappings in which different lines begin with it: all widths of short texts, the published and one line a paragraph of long ones. Null or empty texts match nothing. Repeated rows each get a row; an empty table gives an
-empty result. Columns besides doc_id and text are ignored."""
+empty result. Very long texts are digested whole. Of several licences with one digest the first by name counts. Columns besides doc_id and text are ignored."""
 
 from __future__ import annotations
 
@@ -13,8 +13,12 @@ import textwrap
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .common import stored
 from .license_texts import TEXTS
 
+#: Known digests that are held beside each row at most.
+LISTED = 5000
+
 # Public licence texts and notices, as published. Copyright lines are left out by normalising.
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
@@ -174,19 +178,21 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, digest (of the whole text; null for null), licence (of the whole text, or null),
     line_licences (sorted distinct licences of which a line is the whole notice; empty if none).
 
-    Whole texts are joined on their digests. Lines are looked up in a map of the known digests, which is a fixed list."""
+    Whole texts are joined on their digests. Lines are looked up beside the text in a map of the known digests if these are at most
+    LISTED, as this module's are; else the digests of lines are dealt out and joined, too. known: digest, licence."""
     spark = docs.sparkSession
-    known = known_digests(spark) if known is None else known
-    table = {r["digest"]: r["licence"] for r in known.collect()}  # a fixed list
-    lookup = F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv])
+    known = (known_digests(spark) if known is None else known).groupBy("digest").agg(F.min("licence").alias("licence"))
+    rows = known.limit(LISTED + 1).collect()
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda s: F.trim(s) != "")
     digests = F.transform(lines, lambda s: F.sha2(canonical(s), 256))
-    hits = F.transform(F.filter(digests, lambda d: d.isin(list(table))), lambda d: F.try_element_at(lookup, d))
-    rows = docs.select(
-        "doc_id",
-        F.sha2(canonical(F.col("text")), 256).alias("digest"),
-        F.array_sort(F.array_distinct(hits)).alias("line_licences"),
-    )
-    return rows.join(F.broadcast(known), "digest", "left").select(
-        "doc_id", "digest", "licence", "line_licences"
-    )
+    digest = F.sha2(canonical(F.col("text")), 256).alias("digest")
+    if len(rows) <= LISTED:
+        table = {r["digest"]: r["licence"] for r in rows}
+        lookup = F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv]) if table else F.expr("cast(map() AS map<string, string>)")
+        hits = F.transform(F.filter(digests, lambda d: d.isin(list(table))), lambda d: F.try_element_at(lookup, d))
+        out = docs.select("doc_id", digest, F.array_sort(F.array_distinct(hits)).alias("line_licences"))
+        return out.join(F.broadcast(known), "digest", "left").select("doc_id", "digest", "licence", "line_licences")
+    own = stored(docs.select("doc_id", digest, F.array_distinct(digests).alias("lines")).withColumn("row", F.monotonically_increasing_id()), "digests")
+    found = own.select("row", F.explode("lines").alias("digest")).join(known, "digest").groupBy("row").agg(F.array_sort(F.collect_set("licence")).alias("line_licences"))
+    out = own.drop("lines").join(known, "digest", "left").join(found, "row", "left")
+    return out.select("doc_id", "digest", "licence", F.coalesce("line_licences", F.array().cast("array<string>")).alias("line_licences"))

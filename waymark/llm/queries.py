@@ -144,7 +144,7 @@ def _license_sql() -> str:
     return f"""
 WITH k AS (SELECT DISTINCT sha256({_canonical_sql("body")}) AS digest, licence FROM (VALUES {known}) AS v(licence, body)),
 d AS (SELECT doc_id, text, row_number() OVER () AS rid FROM documents),
-n AS (SELECT rid, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?i)licen[cs]'))) AS line FROM d),
+n AS (SELECT rid, unnest(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS line FROM d),
 h AS (SELECT rid, string_agg(DISTINCT licence, ',' ORDER BY licence) AS found
   FROM (SELECT rid, sha256({_canonical_sql("line")}) AS digest FROM n) JOIN k USING (digest) GROUP BY rid),
 e AS (SELECT rid, doc_id, sha256({_canonical_sql("text")}) AS digest FROM d)
