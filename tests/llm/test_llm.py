@@ -258,6 +258,20 @@ def test_bpe(spark):
         assert vocab.merge_long(p.encode()) == (vocab.encode_pieces([p])[p] if p.encode() not in ranks else vocab.merge_long(p.encode()))
 
 
+def test_bpe_pieces_are_forgotten_and_met_again(monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    vocab = bpe.Vocabulary(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read())
+    monkeypatch.setattr(bpe, "REMEMBER", 40)
+    known, rng = bpe.Pieces(vocab), random.Random(4)
+    for _ in range(60):
+        pieces = ["".join(rng.choices("abcdé ", k=rng.randrange(1, 9))) for _ in range(rng.randrange(70))]
+        ids, at = bpe._gathered(known.ids, known.at, places) if len(places := known.places(pieces)) else (known.ids[:0], [0])
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [vocab.encode_pieces([p])[p] for p in pieces]
+        assert [known.written[k] for k in places.tolist()] == [" ".join(map(str, vocab.encode_pieces([p])[p])) for p in pieces]
+        raw, begin = vocab.decode(ids)
+        assert raw.tobytes() == "".join(pieces).encode() and len(begin) == len(ids) + 1
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -1,16 +1,21 @@
 """Byte-level BPE: encoding and decoding by a vocabulary of ranked byte strings.
 
-Each match of the pattern is encoded by itself. A chunk of texts is cut into pieces; pieces not met before in the task are put
-into length buckets, each a padded numpy matrix of token ids. In each round every row looks up all its adjacent pairs in an
-open-addressed hash table, merges its leftmost pair of the least rank, and is compacted; finished rows leave the matrix.
-Null text counts as empty; empty text has no tokens; an empty table gets no rows. Of pairs of equal rank the leftmost is merged. Very long pieces (over LONG bytes) are merged one by one with a heap to
-the same rule, so that the matrices stay small. Repeated rows each get a row. Columns besides doc_id and text are ignored."""
+Each match of the pattern is encoded by itself. A chunk of texts is cut into pieces; pieces that the worker has not met before
+are put into length buckets, each a padded numpy matrix of token ids. In each round every row looks up all its adjacent pairs in
+an open-addressed hash table, merges its leftmost pair of the least rank, and is compacted; finished rows leave the matrix. A
+text's ids are then gathered from those of its pieces, and its bytes from those of its ids. A worker keeps the vocabulary and at
+most REMEMBER pieces from task to task; a lost worker only costs their making.
+
+Null text counts as empty; empty text has no tokens; an empty table gets no rows. Of pairs of equal rank the leftmost is merged.
+Very long pieces (over LONG bytes) are merged one by one with a heap to the same rule, so that the matrices stay small. Repeated
+rows each get a row. Columns besides doc_id and text are ignored."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
 import heapq
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +26,24 @@ from .common import in_batches
 #: Widths of the matrices; pieces longer than the last are merged with a heap.
 BUCKETS = (4, 8, 12, 16, 24, 32, 48, 64, 128, 256)
 LONG = BUCKETS[-1]
-#: Characters of text that are taken apart at once, and pieces that a task remembers.
-CHUNK, REMEMBER = 1 << 20, 200_000
+#: Characters of text that are taken apart at once, and pieces that a worker remembers.
+CHUNK, REMEMBER = 1 << 20, 400_000
 NONE = np.int32(2**31 - 1)
 
 
+def _starts(lens) -> np.ndarray:
+    """Where each of some runs of the given lengths begins, and the end of the last."""
+    out = np.zeros(len(lens) + 1, dtype=np.int64)
+    np.cumsum(lens, out=out[1:])
+    return out
+
+
+def _gathered(flat: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple:
+    """(the runs of flat that begin at `at`, in the order of which; where each begins)."""
+    starts = _starts(at[which + 1] - at[which])
+    return flat[np.arange(starts[-1]) + np.repeat(at[which] - starts[:-1], np.diff(starts))], starts
+
+
 class Vocabulary:
     """Ranks of byte strings, and the hashed table of pairs: (left id, right id) to the merged id, which is its rank."""
 
@@ -34,6 +52,7 @@ class Vocabulary:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
+        self.bytes, self.byte_at = np.frombuffer(b"".join(self.tokens), dtype=np.uint8), _starts(list(map(len, self.tokens)))
         if lost := [b for b in range(256) if bytes([b]) not in self.ranks]:
             raise ValueError(f"the vocabulary has no token for the bytes {lost}")
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
@@ -80,8 +99,10 @@ class Vocabulary:
             least = ranks[row, best] if ranks.shape[1] else np.full(len(who), NONE)
             done = least == NONE
             if done.any():
-                for i in np.flatnonzero(done):
-                    out[who[i]] = ids[i][ids[i] >= 0].tolist()
+                ended = ids[done]
+                ends, flat = np.cumsum((ended >= 0).sum(axis=1)).tolist(), ended[ended >= 0].tolist()
+                for i, a, b in zip(who[done].tolist(), [0, *ends], ends):
+                    out[i] = flat[a:b]
                 go = ~done
                 ids, ranks, who, best, least = ids[go], ranks[go], who[go], best[go], least[go]
                 row = np.arange(len(who))
@@ -143,23 +164,64 @@ class Vocabulary:
 
     def encode_pieces(self, pieces: list) -> dict:
         """The ids of each of some distinct pieces of text."""
-        out, buckets = {}, {}
-        for text in pieces:
-            raw = text.encode("utf-8", "surrogatepass")
-            if (r := self.ranks.get(raw)) is not None:
-                out[text] = [r]
-            elif len(raw) > LONG:
-                out[text] = self.merge_long(raw)
-            else:
-                buckets.setdefault(next(w for w in BUCKETS if len(raw) <= w), []).append((text, raw))
-        for group in buckets.values():
+        raws = [t.encode("utf-8", "surrogatepass") for t in pieces]
+        out = [None if r is None else [r] for r in map(self.ranks.get, raws)]
+        open_ = np.array([i for i, x in enumerate(out) if x is None], dtype=np.int64)
+        bucket = np.searchsorted(BUCKETS, [len(raws[i]) for i in open_.tolist()])
+        for k in np.unique(bucket).tolist():
+            group = open_[bucket == k].tolist()
             for i in range(0, len(group), 20_000):
-                part = group[i : i + 20_000]
-                out.update(zip((t for t, _ in part), self.merge_rows([r for _, r in part])))
+                part = [raws[j] for j in group[i : i + 20_000]]
+                ids = map(self.merge_long, part) if k == len(BUCKETS) else self.merge_rows(part)
+                for j, x in zip(group[i : i + 20_000], ids):
+                    out[j] = x
+        return dict(zip(pieces, out))
+
+    def decode(self, ids: np.ndarray) -> tuple:
+        """(the bytes of all ids, where each id's begin)."""
+        return _gathered(self.bytes, self.byte_at, ids)
+
+
+class Pieces:
+    """The pieces that a worker remembers: their ids in one array, where each piece's begin, and the ids as written."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab, self.numerals = vocab, list(map(str, range(len(vocab.tokens))))
+        self.forget()
+
+    def forget(self) -> None:
+        self.place, self.written = {}, []
+        self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def places(self, pieces: list) -> np.ndarray:
+        """The place of each piece; those not met before are encoded first."""
+        out = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
+        unmet = np.flatnonzero(out < 0).tolist()
+        new = dict.fromkeys(pieces[i] for i in unmet)
+        if self.place and len(self.place) + len(new) > REMEMBER:
+            self.forget()
+            return self.places(pieces)
+        if new:
+            encoded = self.vocab.encode_pieces(list(new))
+            for piece, ids in encoded.items():
+                self.place[piece] = len(self.written)
+                self.written.append(" ".join(map(self.numerals.__getitem__, ids)))
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(encoded.values()), np.int32)])
+            self.at = np.concatenate([self.at, self.at[-1] + _starts(list(map(len, encoded.values())))[1:]])
+            out[unmet] = [self.place[pieces[i]] for i in unmet]
         return out
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+
+#: The pieces of the vocabulary that this Python process used last, by the digest of its file.
+_HELD: dict = {}
+
+
+def _pieces(data: bytes) -> Pieces:
+    key = hashlib.sha256(data).digest()
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = Pieces(Vocabulary(data))
+    return _HELD[key]
 
 
 def token_rows(docs: DataFrame, vocabulary: bytes, pattern: str, digests_only: bool = False) -> DataFrame:
@@ -171,28 +233,23 @@ def token_rows(docs: DataFrame, vocabulary: bytes, pattern: str, digests_only: b
     def run(batches):
         import regex
 
-        vocab, find = Vocabulary(held.value), regex.compile(pattern).findall
-        known: dict = {}
-        one_of = list(range(len(vocab.tokens)))  # one int object an id, however many pieces have it
+        known, find = _pieces(held.value), regex.compile(pattern).findall
+        sha = lambda parts: [hashlib.sha256(x).hexdigest() for x in parts]
 
-        def some(ids, texts):
-            nonlocal known
+        def some(doc_ids, texts):
             cut = [find(t) for t in texts]
-            new = {p for c in cut for p in c if p not in known}
-            if len(known) + len(new) > REMEMBER:
-                known = {}
-                new = {p for c in cut for p in c}
-            for p, x in vocab.encode_pieces(list(new)).items():
-                known[p] = ([one_of[i] for i in x], " ".join(map(str, x)))
-            all_ids, n, left, back = [], [], [], []
-            for c in cut:
-                got = [known[p] for p in c]
-                flat = [i for x, _ in got for i in x]
-                n.append(len(flat))
-                left.append(hashlib.sha256(" ".join([s for _, s in got]).encode()).hexdigest())
-                back.append(hashlib.sha256(vocab.decode(flat)).hexdigest())
-                all_ids.append(None if digests_only else flat)
-            return pa.RecordBatch.from_arrays([ids, pa.array(all_ids, pa.list_(pa.int32())), pa.array(n, pa.int64()), pa.array(left), pa.array(back)], ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+            rows = _starts(list(map(len, cut)))
+            places = known.places(list(chain.from_iterable(cut)))
+            del cut
+            ids, at = _gathered(known.ids, known.at, places)
+            at = at[rows]  # where each text's ids begin
+            raw, byte_at = known.vocab.decode(ids)
+            byte_at = byte_at[at]
+            places, written = places.tolist(), known.written.__getitem__
+            left = sha(" ".join(map(written, places[a:b])).encode() for a, b in zip(rows[:-1], rows[1:]))
+            back = sha(raw[a:b] for a, b in zip(byte_at[:-1], byte_at[1:]))
+            lists = pa.nulls(len(texts), pa.list_(pa.int32())) if digests_only else pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))
+            return pa.RecordBatch.from_arrays([doc_ids, lists, pa.array(np.diff(at), pa.int64()), pa.array(left, pa.string()), pa.array(back, pa.string())], ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
 
         for batch in batches:
             ids, texts, first, size, run_ = batch.column(0), batch.column(1), 0, 0, []
@@ -215,9 +272,9 @@ def decode_rows(rows: DataFrame, vocabulary: bytes) -> DataFrame:
     held = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        vocab = Vocabulary(held.value)
+        tokens = _pieces(held.value).vocab.tokens
         for b in batches:
-            texts = [None if x is None else vocab.decode(x).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
+            texts = [None if x is None else b"".join(map(tokens.__getitem__, x)).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").transform(in_batches, run, "doc_id long, text string")
