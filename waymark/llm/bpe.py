@@ -27,7 +27,7 @@ from .common import in_batches
 BUCKETS = (4, 8, 12, 16, 24, 32, 48, 64, 128, 256)
 LONG = BUCKETS[-1]
 #: Characters of text that are taken apart at once, and pieces that a worker remembers.
-CHUNK, REMEMBER = 1 << 20, 400_000
+CHUNK, REMEMBER = 1 << 17, 150_000
 NONE = np.int32(2**31 - 1)
 
 
