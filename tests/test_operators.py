@@ -1,11 +1,13 @@
 import datetime as dt
 import math
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from waymark.operators import raster, rollout, sequence, stats, trajectory as tr
+from waymark.plans import catalog
 from waymark.sources import tables
 
 T = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
@@ -33,6 +35,35 @@ def test_dedupe_index_and_next(spark):
     assert tr.next_step(pts, ("uid", "move_id"), columns=("move_vp_id",), stable_id=True).first().trajectory_id != same.h
 
 
+def test_fanout_stats_equal_the_fanned_out_rows(spark):
+    rng = random.Random(7)
+    pts = spark.createDataFrame([(rng.choice([None, 1, 2, 3, 4, 5]),) for _ in range(200)], "cid long")
+    some = lambda c: rng.choice([None, float("nan"), float("inf")] if c == 3 else [None, -0.00005, 31.23456, 99999999999999.0, float("nan")])
+    rows = [(c, some(c), 0.0) for c in (None, 1, 2, 3, 9) for _ in range(rng.randrange(5, 30))] + [(4, None, 0.0)]
+    dim = spark.createDataFrame(rows + [(9, 1e300, 0.0)], "cid long, lat double, lon double")
+    exact = F.sum(F.round("lat", 4).cast("decimal(18,4)")).cast("double")
+    want = tr.enrich(pts, dim).groupBy("cid").agg(F.count(F.lit(1)).alias("n_rows"), F.count("lat").alias("n_matched"), exact.alias("lat_sum"))
+    got = tr.fanout_stats(pts, dim)  # the value that fits no decimal is of a key without points
+    assert got.dtypes == want.dtypes and len(want.collect()) == 6
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    with pytest.raises(Exception, match="NUMERIC_VALUE_OUT_OF_RANGE"):
+        tr.fanout_stats(pts, spark.createDataFrame([(1, 1.0, 0.0), (1, 1e300, 0.0)], dim.schema)).collect()
+    assert tr.fanout_stats(pts.where("false"), dim).count() == 0
+    assert {(r.n_matched, r.lat_sum) for r in tr.fanout_stats(pts, dim.where("false")).collect()} == {(0, None)}
+
+
+def test_point_fanout_makes_no_row_a_pair(spark, tmp_path):
+    n = 300_000  # points and cells of one cid: 9e10 pairs
+    spark.range(n).selectExpr("id event_id", "timestamp_ntz'2024-01-01' ts", "id user_id", "'a' event_type", "'{\"k\": 0}' props").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(n).selectExpr("id * 1200 c_custkey", "1 c_nationkey", "500.0D c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    stop = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    try:
+        assert [tuple(r) for r in catalog.queries()["point_fanout"](spark, str(tmp_path)).collect()] == [(0, n * n, n * n, n * n * 28.5)]
+    finally:
+        stop.cancel()
+
+
 @pytest.mark.parametrize("n", [1, 7, 300])
 def test_global_rank(spark, n):
     rng = random.Random(n)

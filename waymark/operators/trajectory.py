@@ -22,6 +22,20 @@ def enrich(points: DataFrame, dim: DataFrame, key: str = "cid", columns: tuple =
     return points.join(dim.select(key, *columns), key, "left")
 
 
+def fanout_stats(points: DataFrame, dim: DataFrame, key: str = "cid", column: str = "lat", places: int = 4) -> DataFrame:
+    """For each key of the points, what `enrich` fans out to, without making those rows: n_rows, n_matched (rows that have the
+    column) and the column's exact sum over them, as a sum of doubles depends on the order of rows. Each side is aggregated by key
+    before the join: every point of a key meets every row of it in dim, so the numbers of points multiply counts and sums."""
+    value, kind = F.round(column, places), f"decimal(18,{places})"
+    exact = value.try_cast(kind)
+    unfit = F.when(exact.isNull() & (F.abs(value) < float("inf")), value)  # an error, but only for a key that has points
+    here = points.groupBy(key).agg(F.count(F.lit(1)).alias("_points"))
+    there = dim.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"), F.count(column).alias("_set"), F.sum(exact).alias("_sum"), F.max(unfit).alias("_unfit"))
+    wide = enrich(here, there, key, ("_rows", "_set", "_sum", "_unfit"))
+    total = F.coalesce(F.col("_unfit").cast(kind), F.col("_points") * F.col("_sum")).cast("double")
+    return wide.select(key, (F.col("_points") * F.coalesce("_rows", F.lit(1))).alias("n_rows"), (F.col("_points") * F.coalesce("_set", F.lit(0))).alias("n_matched"), total.alias(f"{column}_sum"))
+
+
 def on_date(points: DataFrame, date=None) -> DataFrame:
     """Points of one date; all points without one."""
     return points if not date else points.where(F.col("date") == F.lit(date))

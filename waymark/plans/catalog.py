@@ -123,9 +123,7 @@ def point_enrich(spark, d):
 
 @query(f"WITH {_MV}, {_CELL} SELECT cid, count(*) AS n_rows, count(lat) AS n_matched, CAST(sum(CAST(round(lat, 4) AS DECIMAL(18, 4))) AS DOUBLE) AS lat_sum FROM mv LEFT JOIN cell USING (cid) GROUP BY cid")
 def point_fanout(spark, d):
-    wide = tr.enrich(fx.points(spark, d), fx.cells(spark, d))
-    exact = F.sum(F.round("lat", 4).cast("decimal(18,4)")).cast("double")  # a sum of doubles depends on the order of rows
-    return wide.groupBy("cid").agg(F.count(F.lit(1)).alias("n_rows"), F.count("lat").alias("n_matched"), exact.alias("lat_sum"))
+    return tr.fanout_stats(fx.points(spark, d), fx.cells(spark, d))
 
 
 @query(f"WITH {_MV}, {_CELL}, {_LATEST}, {_PTS} SELECT uid, row_number() OVER (PARTITION BY uid ORDER BY stime, move_vp_id) AS index, move_vp_id, cid, province, city, date FROM pts WHERE date = 20240105")
