@@ -3,10 +3,11 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.llm import common, jaccard_join, sharding
+from waymark.llm import common, components, jaccard_join, sharding
 
 from test_llm import DOCS, brute_components
 
@@ -46,6 +47,50 @@ def test_crowds_that_rarity_does_not_part(spark, monkeypatch):
     assert used
 
 
+def near_copies(rng, n, changed):
+    base = rng.choices(WORDS, k=80)
+    texts = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.randrange(changed)):
+            w[rng.randrange(80)] = rng.choice(WORDS)
+        texts.append(" ".join(w))
+    return texts
+
+
+def test_a_small_crowd_meets_at_once(spark, monkeypatch):
+    """One group of near copies in a larger table costs no rounds of small jobs."""
+    monkeypatch.setattr(jaccard_join, "rare_regions", None)
+    used, block_links = [], jaccard_join._block_links
+    monkeypatch.setattr(jaccard_join, "_block_links", lambda *a: used.append(1) or block_links(*a))
+    rng = random.Random(24)
+    check(spark, near_copies(rng, 24, 9) + [" ".join(rng.choices(WORDS, k=80)) for _ in range(300)], 4)
+    assert used
+
+
+@pytest.mark.parametrize("run, most", [(20_000, 2), (4, 99)])
+def test_few_edges_are_settled_without_steps(spark, monkeypatch, run, most):
+    made, stored = [], components.stored
+    monkeypatch.setattr(components, "stored", lambda df, name: made.append(name) or stored(df, name))
+    monkeypatch.setattr(components, "RUN", run, raising=False)
+    edges = [(i, i + 1) for i in range(0, 40)] + [(200 - i, 90) for i in range(30)] + [(7, 7), (300, 301), (301, 300), (190, 300)]
+    random.Random(25).shuffle(edges)
+    got = components.components(spark.createDataFrame(edges, "u long, v long").repartition(5), stored)
+    want = {i: 0 for i in range(41)} | {k: 90 for k in (90, *range(171, 201), 300, 301)}
+    assert {r.node: r.root for r in got.collect()} == want
+    assert made.count("edges") <= most
+
+
+@pytest.mark.parametrize("columns", [4096, 5])
+def test_common_shingles_of_a_block(monkeypatch, columns):
+    monkeypatch.setattr(jaccard_join, "COLUMNS", columns)
+    rng = random.Random(26)
+    sets = [np.array(sorted(rng.sample(range(60), rng.randrange(1, 50))), dtype=np.uint64) for _ in range(30)]
+    rows, cols = np.arange(3, 20), np.arange(10, 30)
+    want = [[len(np.intersect1d(sets[i], sets[j])) for j in cols] for i in rows]
+    assert jaccard_join._commons(sets, rows, cols).tolist() == want
+
+
 def test_sets_of_a_document_with_many_places(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "PLACES", 3)
     rng = random.Random(23)

@@ -13,12 +13,14 @@ The metric is the Jaccard distance d = 1 - J, the radius R = 0.2. The join runs
    that the window |d(x,p) - d(y,p)| <= R leaves, until they are linked. Larger regions than REGION are dealt out in parts,
    each of which has the pivot.
 3. Of regions in several parts, the members that no link so far connects with the pivot, and the boundary of its component
-   (the window again), are crowded. They are joined anew by the rules of 1 and 2, with the shingles now in order of rarity
-   among them: of x's shingles the |x| - ceil(0.8 |x|) + 1 rarest are its regions. What the members of a region have in
-   common is the commonest of their shingles and gives no region, so a long notice on many pages costs each page its own
-   shingles once. This repeats while the crowd shrinks to less than HALVED of what it was.
+   (the window again), are crowded. If the blocks of 4 send at most AT_ONCE times the shingles of the corpus, they meet there
+   at once, as a round costs some fifty small jobs. Else they are joined anew by the rules of 1 and 2, with the shingles now in
+   order of rarity among them: of x's shingles the |x| - ceil(0.8 |x|) + 1 rarest are its regions. What the members of a region
+   have in common is the commonest of their shingles and gives no region, so a long notice on many pages costs each page its
+   own shingles once. This repeats while the crowd shrinks to less than HALVED of what it was.
 4. What is left then are documents most of whose shingles most of the others have, unlinked all the same. They meet in blocks,
-   dealt by bands of the distance to their pivot, of which the window leaves only neighbours.
+   dealt by bands of the distance to their pivot, of which the window leaves only neighbours. A block's common shingles are
+   counted at once, as products of tables of its sets.
 
 Each computed similarity is exact on sets of 64-bit shingle hashes. Whole documents as the only pivots would be of no use:
 nearly all distances in a corpus of texts are 1, and a window of 2R then holds all documents.
@@ -37,12 +39,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import textarrays as ta
 from .common import BROADCAST_IDS, in_batches, stored, working
-from .components import components
+from .components import Union as _Union, components
 
 #: Documents that one task compares with each other at most (a part of a region with its pivot).
 REGION = 128
 #: A crowd is joined anew by rarity while that makes it less than this share of what it was.
 HALVED = 0.5
+#: A crowd meets in blocks at once if that sends at most this many times the shingles of all sets.
+AT_ONCE = 2
+#: Distinct shingles that a table of a block's sets holds at a time.
+COLUMNS = 4096
 #: Places of one document that travel to its text in one row.
 PLACES = 256
 #: Rows of shingle regions that one task holds, about.
@@ -54,7 +60,7 @@ def at_least(n):
     return (4 * n + 4) // 5
 
 
-def linked(common: int, a: int, b: int) -> bool:
+def linked(common, a, b):
     return 100 * common >= 80 * (a + b - common)
 
 
@@ -191,15 +197,39 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
-class _Union(dict):
-    def root(self, x):
-        while (y := self.get(x, x)) != x:
-            self[x] = x = self.get(y, y)
-        return x
-
-    def join(self, a, b):
-        a, b = self.root(a), self.root(b)
-        self[max(a, b)] = min(a, b)
+def _commons(sets: list, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """How many shingles each of sets[rows] has in common with each of sets[cols]."""
+    flat, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, own = flat[order], own[order]
+    starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    size = np.diff(np.append(starts, len(flat)))
+    own = own[np.repeat(size, size) >= 2]
+    size = size[size >= 2]
+    column, ends = np.repeat(np.arange(len(size)), size), np.append(0, np.cumsum(size))
+    out = np.zeros((len(rows), len(cols)), dtype=np.float32)
+    for first in range(0, len(size), COLUMNS):
+        a, b = ends[first], ends[min(first + COLUMNS, len(size))]
+        has = np.zeros((len(sets), min(COLUMNS, len(size) - first)), dtype=np.float32)
+        has[own[a:b], column[a:b] - first] = 1
+        out += has[rows] @ has[cols].T
+    return out.astype(np.int64)
+
+
+def _linked_pairs(sets: dict, outer: list, inner: list, dist: dict):
+    """Linked pairs of an outer and an inner member, of those that the window leaves."""
+    names = sorted({*outer, *inner})
+    at, size, d = {m: k for k, m in enumerate(names)}, np.array([len(sets[m]) for m in names]), np.array([dist[m] for m in names])
+    rows, cols = (np.array([at[m] for m in side], dtype=np.int64) for side in (outer, inner))
+    near = np.abs(d[rows][:, None] - d[cols][None, :]) <= 0.2 + 1e-9
+    rows, cols = rows[near.any(axis=1)], cols[near.any(axis=0)]
+    near = near[near.any(axis=1)][:, near.any(axis=0)]
+    if not near.size:
+        return
+    common = _commons([sets[m] for m in names], rows, cols)
+    near &= linked(common, size[rows][:, None], size[cols][None, :])
+    for i, j in zip(*np.nonzero(near)):
+        yield names[rows[i]], names[cols[j]]
 
 
 def join_region(p: int, sets: dict, outer=None, inner=None, known=None, joined=()):
@@ -221,15 +251,12 @@ def join_region(p: int, sets: dict, outer=None, inner=None, known=None, joined=(
         dist = known
         for m in joined:
             union.join(m, joined[0])
-    for x in outer:
-        sx, dx = sets[x], dist[x]
-        for y in inner:
-            sy = sets[y]
-            if y == p or abs(dx - dist[y]) > 0.2 + 1e-9 or 5 * min(len(sx), len(sy)) < 4 * max(len(sx), len(sy)) or union.root(x) == union.root(y):
-                continue
-            if linked(_common(sx, sy), len(sx), len(sy)):
-                union.join(x, y)
-                links.append((x, y))
+    if not outer:
+        return links, dist
+    for x, y in _linked_pairs(sets, outer, [m for m in inner if m != p], dist):
+        if union.root(x) != union.root(y):
+            union.join(x, y)
+            links.append((x, y))
     return links, dist
 
 
@@ -296,18 +323,23 @@ def _placed_sets(docs: DataFrame, placed: DataFrame, classes: DataFrame, fields:
     names = [f.split()[0] for f in fields.split(", ")]
     by_rep = brief(placed.join(classes, placed["m"] == classes["h"]).select(*names, "rep"), "placed")
     counts = by_rep.groupBy("rep").agg(F.count(F.lit(1)).alias("_n"))
-    many = brief(counts.where(F.col("_n") > PLACES).select(F.col("rep").alias("_many"), F.ceil(F.col("_n") / PLACES).cast("long").alias("_lists")), "many")
-    spread = by_rep.join(F.broadcast(many) if many.count() <= BROADCAST_IDS else many, F.col("rep") == F.col("_many"), "left")
-    spread = spread.withColumn("_list", F.coalesce(F.pmod(F.xxhash64(*names), "_lists"), F.lit(0)))
-    lists = brief(spread.groupBy("rep", "_list", F.col("_many").isNotNull().alias("_far")).agg(F.collect_list(F.struct(*names)).alias("places")), "places")
-    small = (lists.agg(F.sum(F.size("places").cast("long"))).first()[0] or 0) <= BROADCAST_IDS // 2
+    n_places, n_many = counts.agg(F.sum("_n"), F.count_if(F.col("_n") > PLACES)).first()
+    small = (n_places or 0) <= BROADCAST_IDS // 2
+    places = F.collect_list(F.struct(*names)).alias("places")
+    if n_many:
+        many = counts.where(F.col("_n") > PLACES).select(F.col("rep").alias("_many"), F.ceil(F.col("_n") / PLACES).cast("long").alias("_lists"))
+        spread = by_rep.join(F.broadcast(many) if n_many <= BROADCAST_IDS else many, F.col("rep") == F.col("_many"), "left")
+        spread = spread.withColumn("_list", F.coalesce(F.pmod(F.xxhash64(*names), "_lists"), F.lit(0)))
+        lists = brief(spread.groupBy("rep", "_list", F.col("_many").isNotNull().alias("_far")).agg(places), "places")
+    else:
+        lists = by_rep.groupBy("rep").agg(places).withColumns({"_list": F.lit(0), "_far": F.lit(False)})
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def beside(own):
         return texts.join(F.broadcast(own) if small else own, texts["doc_id"] == own["rep"]).select("doc_id", "text", "places", "_list")
 
     rows = beside(lists.where("NOT _far"))
-    if not many.isEmpty():
+    if n_many:
         parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rows = rows.unionByName(beside(lists.where("_far")).repartition(parts, "doc_id", "_list"))
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
@@ -360,20 +392,29 @@ def _unresolved(found: DataFrame, seen: DataFrame, store) -> DataFrame:
         return store(rooted.join(near, "p").where("outer OR d >= least - 0.2 - 1e-9").select("p", "m", "d", "outer"), "unresolved")
 
 
+def _sent_in_blocks(left: DataFrame, classes: DataFrame, region: int) -> int:
+    """The shingles of all sets that _block_links sends at most, without regard to bands; 0 if there is nothing to join."""
+    n, own = F.col("n").cast("decimal(38,0)"), left.join(classes, left["m"] == classes["h"])
+    sums = own.groupBy("p").agg(*(f.alias(k) for side, k in (("outer", "o"), ("NOT outer", "i")) for f, k in (
+        (F.ceil(F.count_if(F.expr(side)) / region).cast("decimal(20,0)"), f"{k}_blocks"), (F.coalesce(F.sum(F.when(F.expr(side), n)), F.lit(0)), f"{k}_n"))))
+    return int(sums.agg(F.sum(F.expr("o_blocks * (o_n + i_n) + i_blocks * o_n").cast("double"))).first()[0] or 0)
+
+
 def _block_links(docs: DataFrame, left: DataFrame, classes: DataFrame, region: int, store, brief) -> DataFrame:
     """(a, b): links between outer members and all others of their region, in blocks. Bands of distance to the pivot are as wide
-    as the window, so a block meets only blocks of its own band and the two beside it."""
+    as the window, so a block meets only blocks of its own band and the two beside it; two outer blocks meet once."""
     rows = left.withColumn("band", F.floor(F.col("d") * 5).cast("int"))
-    blocks = lambda x, n: x.groupBy("p", "band").agg(F.ceil(F.count(F.lit(1)) / region).cast("int").alias(n))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    outer = blocks(rows.where("outer"), "rows").select(F.col("p").alias("bp"), F.col("band").alias("rb"), "rows", each("rows").alias("i"))
-    inner = blocks(rows, "cols").select(F.col("p").alias("cp"), F.col("band").alias("cb"), "cols", each("cols").alias("j"))
-    pairs = outer.join(inner, (F.col("bp") == F.col("cp")) & (F.abs(F.col("rb") - F.col("cb")) <= 1))  # of blocks, not documents
-    pairs = brief(pairs.select("bp", "rb", "rows", "i", "cb", "cols", "j", F.xxhash64("bp", "rb", "i", "cb", "j").alias("block")), "blocks")
+    blocks = rows.groupBy("p", "band", "outer").agg(F.ceil(F.count(F.lit(1)) / region).cast("int").alias("n"))
+    blocks = brief(blocks.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1))), "blocks")
+    one = blocks.where("outer").select(F.col("p").alias("bp"), F.col("band").alias("rb"), F.col("n").alias("rows"), F.col("k").alias("i"))
+    two = blocks.select(F.col("p").alias("cp"), F.col("band").alias("cb"), F.col("outer").alias("co"), F.col("n").alias("cols"), F.col("k").alias("j"))
+    once = F.expr("bp = cp AND abs(rb - cb) <= 1 AND (NOT co OR cb > rb OR cb = rb AND j >= i)")
+    pairs = one.join(two, once).select("*", F.xxhash64("bp", "rb", "i", "cb", "co", "j").alias("block"))  # of blocks, not documents
+    pairs = brief(pairs, "pairs")
     own = lambda band, n, at: (F.col("p") == F.col("bp")) & (F.col("band") == F.col(band)) & (F.pmod(F.xxhash64("m"), n) == F.col(at))
     fields = lambda o: ("p", "block", "m", "d", F.lit(o).alias("o"), "outer")
     sides = rows.where("outer").join(pairs, own("rb", "rows", "i")).select(*fields(True))
-    sides = sides.unionByName(rows.join(pairs, own("cb", "cols", "j")).select(*fields(False)))
+    sides = sides.unionByName(rows.join(pairs, own("cb", "cols", "j") & (F.col("outer") == F.col("co"))).select(*fields(False)))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocked = _placed_sets(docs, sides, classes, "p long, block long, m long, d double, o boolean, outer boolean", brief)
     joined = blocked.repartition(n, "p", "block").sortWithinPartitions("p", "block").transform(in_batches, _second_join, _LINKS)
@@ -383,15 +424,19 @@ def _block_links(docs: DataFrame, left: DataFrame, classes: DataFrame, region: i
 def links(docs: DataFrame, sigs: DataFrame, classes: DataFrame, region: int = REGION, store=stored) -> DataFrame:
     """(a, b): links that span each component of sets."""
     with working() as brief:
+        all_sent = classes.agg(F.sum("n")).first()[0] or 0
         first = _pivot_links(docs, document_regions(sigs, brief), classes, region, store)
         found, seen, crowd_before = first.where("kind = 0").select("a", "b"), first.where("kind = 1"), None
         while not seen.where("d > 0.2").isEmpty():
             left = _unresolved(found, seen.select("p", "a", "d"), brief)
-            crowd = brief(left.select("m").distinct(), "crowd")  # pivots have met all of their region
-            size = crowd.count()
-            if not size:
+            sent = _sent_in_blocks(left, classes, region)
+            if not sent:
                 break
-            if crowd_before is not None and size > HALVED * crowd_before:
+            crowd, size = None, 0
+            if sent > AT_ONCE * all_sent:
+                crowd = brief(left.select("m").distinct(), "crowd")  # pivots have met all of their region
+                size = crowd.count()
+            if crowd is None or crowd_before is not None and size > HALVED * crowd_before:
                 return found.unionByName(_block_links(docs, left, classes, region, store, brief))
             sets = _placed_sets(docs, crowd, classes, "m long", brief)
             more = _pivot_links(docs, rare_regions(sets, brief), classes, region, store)
@@ -406,7 +451,7 @@ def jaccard_components(docs: DataFrame, region: int = REGION, handles: bool = Fa
     with working() as brief:
         all_sigs = brief(signatures(docs), "signatures")
         sigs = all_sigs.where("doc_id IS NOT NULL AND n > 0")
-        classes = brief(sigs.groupBy("h").agg(F.min("doc_id").alias("rep")), "classes")
+        classes = brief(sigs.groupBy("h").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "classes")
         found = links(docs, sigs, classes, region, brief)
         roots = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")), brief)
         tree = roots.join(classes, roots["node"] == classes["h"])
